@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from sedimenta.llm import quality_rules
+from sedimenta.llm import decontaminate, quality_rules
 
 
 def queries() -> dict:
-    return {"op5_quality_rules": quality_rules.op5_quality_rules}
+    return {
+        "op4_decontaminate": decontaminate.op4_decontaminate,
+        "op5_quality_rules": quality_rules.op5_quality_rules,
+    }
 
 
 def oracle_sql() -> dict:
-    return {"op5_quality_rules": quality_rules.ORACLE}
+    return {
+        "op4_decontaminate": decontaminate.ORACLE,
+        "op5_quality_rules": quality_rules.ORACLE,
+    }
