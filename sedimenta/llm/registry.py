@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from sedimenta.llm import decontaminate, quality_rules
+from sedimenta.llm import decontaminate, quality_rules, substring_dedup
 
 
 def queries() -> dict:
     return {
+        "op2_substring_dedup": substring_dedup.op2_substring_dedup,
         "op4_decontaminate": decontaminate.op4_decontaminate,
         "op5_quality_rules": quality_rules.op5_quality_rules,
     }
@@ -14,6 +15,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     return {
+        "op2_substring_dedup": substring_dedup.ORACLE,
         "op4_decontaminate": decontaminate.ORACLE,
         "op5_quality_rules": quality_rules.ORACLE,
     }
