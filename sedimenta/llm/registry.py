@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sedimenta.llm import decontaminate, quality_rules, substring_dedup
+from sedimenta.llm import decontaminate, ngram_join, quality_rules, substring_dedup
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op2_substring_dedup": substring_dedup.op2_substring_dedup,
         "op4_decontaminate": decontaminate.op4_decontaminate,
         "op5_quality_rules": quality_rules.op5_quality_rules,
+        "op7_ngram_join": ngram_join.op7_ngram_join,
     }
 
 
@@ -18,4 +19,5 @@ def oracle_sql() -> dict:
         "op2_substring_dedup": substring_dedup.ORACLE,
         "op4_decontaminate": decontaminate.ORACLE,
         "op5_quality_rules": quality_rules.ORACLE,
+        "op7_ngram_join": ngram_join.ORACLE,
     }
