@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from sedimenta.llm import decontaminate, ngram_join, quality_rules, substring_dedup
+from sedimenta.llm import decontaminate, line_dedup, ngram_join, quality_rules, substring_dedup
 
 
 def queries() -> dict:
     return {
         "op2_substring_dedup": substring_dedup.op2_substring_dedup,
+        "op3_line_dedup": line_dedup.op3_line_dedup,
         "op4_decontaminate": decontaminate.op4_decontaminate,
         "op5_quality_rules": quality_rules.op5_quality_rules,
         "op7_ngram_join": ngram_join.op7_ngram_join,
@@ -17,6 +18,7 @@ def queries() -> dict:
 def oracle_sql() -> dict:
     return {
         "op2_substring_dedup": substring_dedup.ORACLE,
+        "op3_line_dedup": line_dedup.ORACLE,
         "op4_decontaminate": decontaminate.ORACLE,
         "op5_quality_rules": quality_rules.ORACLE,
         "op7_ngram_join": ngram_join.ORACLE,
