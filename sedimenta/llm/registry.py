@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from sedimenta.llm import decontaminate, line_dedup, ngram_join, quality_rules, substring_dedup
+from sedimenta.llm import decontaminate, line_dedup, ngram_join, quality_rules, secret_scan, substring_dedup
 
 
 def queries() -> dict:
     return {
+        "op1_secret_scan": secret_scan.op1_secret_scan,
         "op2_substring_dedup": substring_dedup.op2_substring_dedup,
         "op3_line_dedup": line_dedup.op3_line_dedup,
         "op4_decontaminate": decontaminate.op4_decontaminate,
