@@ -8,10 +8,11 @@ at least ``percent`` / 100.
 2. Blocking loses no link.  Similar sets of at most m n-grams differ in at most
    H(m) = floor(2 m (100 - p) / (100 + p)) of them.  Every set is dealt, by the
    leading bits of its n-grams' hashes, into K(m) > H(m) parts, so two similar
-   sets agree in a whole part.  A set is dealt for each K that a partner no
-   smaller than it may use.  Parts are told by the sum of their mixed hashes.
-   Parts empty on both sides tell nothing; a set with so many of them that they
-   might be all that a partner shares names its empty parts too.
+   sets agree in K - H whole parts at least.  A set is dealt for each K that a
+   partner no smaller than it may use.  A part's name is the mixed sum of its
+   hashes.  Parts are ranked by their number of n-grams, then by name, alike in
+   every set that has them; a set sends its H + 1 highest alone, since the
+   highest part that two similar sets agree in is among those of both.
    Part names travel packed, by ranges of names; a task sends each name once,
    with the least set that has it, and links the others to that one.
 3. Components of "agree in a part" are the blocks of rows.  Within a block the
@@ -82,7 +83,7 @@ def differ(m: int, percent: int) -> int:
 
 def parts(m: int, percent: int) -> int:
     h = differ(m, percent)
-    return 1 << (h + h // 8).bit_length()
+    return 1 << (h + h // 3).bit_length()
 
 
 def levels(n: int, percent: int) -> list[int]:
@@ -103,11 +104,11 @@ def _names(g: np.ndarray, percent: int) -> list[np.ndarray]:
         if k == 1:
             continue  # such sets are similar to equal ones only
         at = np.searchsorted(g, np.arange(k, dtype=U64) << U64(65 - k.bit_length()))
-        full = np.diff(at, append=n) > 0
-        tag = mix(np.arange(k, dtype=U64) + U64(k << 32))
-        out.append(mix(np.add.reduceat(mixed, at[full]) + tag[full]))
-        if k - int(full.sum()) >= k - most:
-            out.append(mix(tag[~full]))
+        size = np.diff(at, append=n)
+        full = size > 0
+        name = mix(np.arange(k, dtype=U64) + U64(k << 32))
+        name[full] = mix(np.add.reduceat(mixed, at[full]) + name[full])
+        out.append(name[np.lexsort((name, size))[max(0, k - most - 1) :]])
     return out
 
 
