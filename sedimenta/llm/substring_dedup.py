@@ -38,8 +38,8 @@ from sedimenta.llm.shared import written
 from sedimenta.llm.wordhash import SPACED, blocks, winnow
 
 SIZE = 50
-#: Documents whose marks are sent to every task at most (32 MB at most, too); beyond it documents are shuffled.
-BROADCAST_IDS = 200_000
+#: Ids (8 bytes each, so 16 MB) that are sent to every task at most; beyond it all documents are shuffled.
+BROADCAST_IDS = 2_000_000
 NULL_ID = 2**63 - 1
 
 SPLIT = bytes(i if i not in (9, 10, 11, 12, 13) else 32 for i in range(256))
@@ -146,16 +146,16 @@ def _strip(batches: Iterator[pa.RecordBatch], size: int, with_text: bool) -> Ite
         )
 
 
-def _where_id(docs: DataFrame, ids: DataFrame, most: int) -> DataFrame:
-    """Documents with what ids has for them; ids go to every task only if there are at most ``most`` rows and 32 MB."""
-    small = ids.count() <= most and _bytes(ids) <= 32 << 20
-    return docs.join(F.broadcast(ids) if small else ids, "doc_id")
+def _with(docs: DataFrame, marks: DataFrame, most: int) -> DataFrame:
+    """Documents joined with their rows of ``marks`` by id.
 
-
-def _bytes(ids: DataFrame) -> int:
-    """Size of a two-key table with one list of numbers a row."""
-    lists = [c for c, t in ids.dtypes if t.startswith("array")]
-    return int(ids.agg(F.sum(sum((F.size(c) for c in lists), F.lit(4)) * 8).alias("n")).first()["n"] or 0)
+    Up to ``most`` distinct ids are sent to every task, so that only texts that
+    are needed are shuffled.
+    """
+    ids = marks.select("doc_id").distinct()
+    if ids.count() <= most:
+        docs = docs.join(F.broadcast(ids), "doc_id", "left_semi")
+    return docs.join(marks, "doc_id")
 
 
 def remove_repeats(
@@ -187,7 +187,7 @@ def remove_repeats(
     live = written(halves.join(twice, "h").groupBy("first", "d1").agg(F.collect_set("h").alias("halves")).withColumnRenamed("first", "doc_id"), "halves")
 
     windows = written(
-        _where_id(d, live, broadcast_ids)
+        _with(d, live, broadcast_ids)
         .select("doc_id", "text", "d1", "halves")
         .mapInArrow(lambda it: _windows(it, size), "doc_id long, d1 long, p int, h1 long, h2 long"),
         "windows",
@@ -196,7 +196,7 @@ def remove_repeats(
     repeats = windows.join(least, ["h1", "h2"]).where("doc_id > least")
     starts = written(repeats.groupBy("doc_id", "d1").agg(F.collect_set("p").alias("starts")), "starts")
     cut = (
-        _where_id(d, starts, broadcast_ids)
+        _with(d, starts, broadcast_ids)
         .select("doc_id", "text", "d1", "starts")
         .mapInArrow(lambda it: _strip(it, size, with_text), "doc_id long, d1 long, cut long, cut_sha string, cut_text string")
         .dropDuplicates(["doc_id", "d1"])
