@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sedimenta.llm import byte_bpe, decontaminate, line_dedup, ngram_join, quality_rules, secret_scan, substring_dedup, token_counts
+from sedimenta.llm import byte_bpe, decontaminate, line_dedup, ngram_join, quality_rules, secret_scan, substring_dedup, token_counts, token_store
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_line_dedup": line_dedup.op3_line_dedup,
         "op4_decontaminate": decontaminate.op4_decontaminate,
         "op5_quality_rules": quality_rules.op5_quality_rules,
+        "op6_token_store": token_store.op6_token_store,
         "op7_ngram_join": ngram_join.op7_ngram_join,
         "op8_token_counts": token_counts.op8_token_counts,
         "op10_byte_bpe": byte_bpe.op10_byte_bpe,
