@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sedimenta.llm import byte_bpe, decontaminate, line_dedup, ngram_join, quality_rules, secret_scan, substring_dedup, token_counts, token_store
+from sedimenta.llm import byte_bpe, decontaminate, line_dedup, lm_score, ngram_join, quality_rules, secret_scan, substring_dedup, token_counts, token_store
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op6_token_store": token_store.op6_token_store,
         "op7_ngram_join": ngram_join.op7_ngram_join,
         "op8_token_counts": token_counts.op8_token_counts,
+        "op9_lm_score": lm_score.op9_lm_score,
         "op10_byte_bpe": byte_bpe.op10_byte_bpe,
     }
 
