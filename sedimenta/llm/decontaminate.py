@@ -227,6 +227,19 @@ def _by_shuffles(d: DataFrame, wins: DataFrame, prints: DataFrame, window: int,
     return docs.join(per, "row", "left").select("doc_id", "text", "spans", "items").mapInArrow(judge, OUT)
 
 
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that share no window with an item, with their columns unchanged.
+
+    Contaminated documents are found by id and text, so rows that share an id
+    are judged by their own texts.
+    """
+    same = lambda x: F.xxhash64(F.coalesce(x, F.lit("")))
+    row = F.struct(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), same(F.col(f"`{text_col}`")))
+    own = docs.select(F.xxhash64(row).alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    found = contamination(own, benchmark, **options).where("contaminated").select(F.col("doc_id").alias("__row")).distinct()
+    return docs.withColumn("__row", F.xxhash64(row)).join(found, "__row", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def op4_decontaminate(spark, sf_dir: str) -> DataFrame:
     return contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
