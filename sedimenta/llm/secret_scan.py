@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedimenta.llm.quality_rules import let
+from sedimenta.llm.shared import about
 
 #: Fixed patterns; ASCII letters of the first are matched in either case.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -39,7 +40,7 @@ START = len(ALPHABET)
 MIN_TOKEN = 16
 TOKEN = rf"[A-Za-z0-9+/_-]{{{MIN_TOKEN},}}"
 
-#: Documents that are read at most to train the models, and generated random strings.
+#: Documents, about, that train the models (told by a hash of id and text), and generated random strings.
 TRAIN_DOCS, RANDOM_STRINGS = 2000, 2000
 #: Total and per-step log-likelihood ratio (nats) from which a token is reported.
 MIN_TOTAL, MIN_STEP = 12.0, 0.6
@@ -93,10 +94,10 @@ def _bigrams(token: Column) -> Column:
     return let(_classes(token), lambda c: F.transform(c, lambda x, i: F.coalesce(F.get(c, i - 1), F.lit(START)) * size + x))
 
 
-def labelled_sample(docs: DataFrame, text_col: str = "text", train_docs: int = TRAIN_DOCS, random_strings: int = RANDOM_STRINGS) -> DataFrame:
-    """(token, label): 1 random, 0 ordinary, from at most ``train_docs`` documents and generated strings."""
+def labelled_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_docs: int = TRAIN_DOCS, random_strings: int = RANDOM_STRINGS) -> DataFrame:
+    """(token, label): 1 random, 0 ordinary, from about ``train_docs`` documents and generated strings."""
     spark = docs.sparkSession
-    t = docs.select(_text(F.col(f"`{text_col}`").cast("string")).alias("text")).limit(train_docs).select("text", base_spans(F.col("text")).alias("spans"))
+    t = about(docs, train_docs, [id_col, text_col]).select(_text(F.col(f"`{text_col}`").cast("string")).alias("text")).select("text", base_spans(F.col("text")).alias("spans"))
     value = F.regexp_extract("s.value", r"([A-Za-z0-9+/_-]+)=*$", 1)
     known = t.select(F.explode("spans").alias("s")).select(value.alias("token"), F.lit(1).alias("label"))
     rest = F.aggregate("spans", F.col("text"), lambda a, s: F.replace(a, s["value"], F.lit(" ")))

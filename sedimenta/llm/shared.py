@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,6 +29,14 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def about(docs: DataFrame, rows: int, columns: list[str]) -> DataFrame:
+    """A sample of about ``rows`` rows, told by a hash of ``columns``; all rows if there are no more."""
+    total = docs.count()
+    if total <= rows:
+        return docs
+    return docs.where(F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in columns)), F.lit(total)) < rows)
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Delete a path made by ``new_path`` or ``written``."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
