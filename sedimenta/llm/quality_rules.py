@@ -22,17 +22,19 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sedimenta.llm.shared import about
+
 WS = r"[\x20\x09-\x0D]"
 WS_CHARS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 
-#: Rows read at most to estimate the cost and selectivity of the rules.
+#: Rows, about, on which the cost and selectivity of the rules are estimated.
 SAMPLE_ROWS = 1000
 
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 WINDOW = 8
-MAX_SYMBOLS_PER_WORD = 0.5
+MAX_SYMBOLS_PER_WORD = 0.25
 MAX_DUP_LINE_SHARE = 0.6
 MIN_MEAN_WORD, MAX_MEAN_WORD = 1.5, 40.0
 
@@ -123,13 +125,13 @@ def default_rules(text: Column) -> list[Rule]:
     ]
 
 
-def order_rules(docs: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """Rules by rejections per second on at most ``sample_rows`` rows, best first.
+def order_rules(docs: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_ROWS, text_col: str = "text") -> list[Rule]:
+    """Rules by rejections per second on about ``sample_rows`` rows (told by a hash of the text), best first.
 
     Every rule sees the whole sample, so its selectivity is not that of what
     earlier rules leave; ties keep the given order.
     """
-    sample = docs.limit(sample_rows).cache()
+    sample = about(docs, sample_rows, [text_col]).cache()
     try:
         if not sample.count():
             return list(rules)
@@ -153,7 +155,7 @@ def cascade(rules: list[Rule]) -> Column:
 
 def keep(docs: DataFrame, text_col: str = "text", rules: list[Rule] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The rows of ``docs`` that no rule rejects, with their columns unchanged."""
-    ordered = order_rules(docs, rules or default_rules(F.col(f"`{text_col}`")), sample_rows)
+    ordered = order_rules(docs, rules or default_rules(F.col(f"`{text_col}`")), sample_rows, text_col)
     return docs.where(cascade(ordered).isNull())
 
 
@@ -199,7 +201,7 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samp
     is still learned from their cost on texts, and decides in what order they
     are tried.
     """
-    names = [r.name for r in order_rules(docs, default_rules(F.col(f"`{text_col}`")), sample_rows)]
+    names = [r.name for r in order_rules(docs, default_rules(F.col(f"`{text_col}`")), sample_rows, text_col)]
     rules = sorted(measured_rules(), key=lambda r: names.index(r.name))
     base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return measures(docs, id_col, text_col).select(
