@@ -55,7 +55,7 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def run(args: argparse.Namespace, spark, out=sys.stdout) -> None:
+def run(args: argparse.Namespace, spark, out=None) -> None:
     prepare(spark)
     if args.verb == "query":
         print(native_query.render(native_query.run(Dataset.open(spark, args.dataset), args.metric, args.filter, args.aggregate, args.start, args.end)), file=out)
