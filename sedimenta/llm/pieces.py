@@ -9,10 +9,15 @@ one and the results put together; most pieces recur.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-#: Pieces that a worker remembers at most (about 200 MB with their values).
-REMEMBERED = 600_000
+import numpy as np
+import pyarrow as pa
+
+from sedimenta.llm.wordhash import U64, byte_ranges, lookup, raw_blocks
+
+#: Pieces that a worker remembers at most (about 50 MB).
+REMEMBERED = 1_500_000
 
 _AMBIGUOUS = re.compile(r" \s|\s ")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -30,7 +35,7 @@ class Remembered(dict):
     what is used again meanwhile moves to the younger.
     """
 
-    def __init__(self, make: Callable, most: int = REMEMBERED):
+    def __init__(self, make: Callable, most: int = 400_000):
         self.make, self.half, self.older = make, most // 2, {}
 
     def __missing__(self, key: str):
@@ -46,10 +51,130 @@ class Remembered(dict):
         return value
 
 
+_SPACE = np.zeros(256, bool)
+_SPACE[[*range(9, 14), *range(28, 33)]] = True
+
+
+def safe_cuts(data: np.ndarray) -> np.ndarray:
+    """Places of the spaces in UTF-8 bytes that stand between two characters which are not white space."""
+    at = np.flatnonzero(data == 32)
+    at = at[(at > 0) & (at < len(data) - 1)]
+    padded = np.concatenate([np.zeros(3, np.uint8), data, np.zeros(3, np.uint8)])
+    one, two, three = padded[at + 2], padded[at + 1], padded[at]
+    good = ~_SPACE[one] & ~((two == 0xC2) & ((one == 0x85) | (one == 0xA0))) & ~_wide(three, two)
+    one, two = padded[at + 4], padded[at + 5]
+    good &= ~_SPACE[one] & ~((one == 0xC2) & ((two == 0x85) | (two == 0xA0))) & ~_wide(one, two)
+    return at[good]
+
+
+def _wide(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether a three-byte character that begins so may be white space."""
+    return ((a == 0xE1) & (b == 0x9A)) | ((a == 0xE2) & ((b == 0x80) | (b == 0x81))) | ((a == 0xE3) & (b == 0x80))
+
+
+class PieceIds:
+    """Ids of whole texts by pieces that are told by a 64-bit hash.
+
+    ``make`` gives the ids of pieces that are not remembered.  Texts that hold
+    one of ``special`` are one piece.  With ``end`` set, that id follows every
+    text.
+    """
+
+    def __init__(self, make: Callable[[list[bytes]], list[np.ndarray]], kind: str, special: list[bytes] = (), end: int | None = None, most: int = REMEMBERED):
+        self.make, self.kind, self.special, self.end, self.most = make, kind, list(special), end, most
+        self._forget()
+
+    def _forget(self) -> None:
+        """Two tables of pieces, a large one and one of the last, each sorted by key: keys, starts in the pool, ids."""
+        none = lambda: [np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
+        self.large, self.last = none(), none()
+        self.pool, self.filled = np.full(1, self.end or 0, self.kind), 1
+
+    def _learn(self, keys: np.ndarray, raw: list[bytes]) -> None:
+        made = self.make(raw)
+        count = np.array([len(x) for x in made], np.int32)
+        end = self.filled + int(count.sum())
+        start = end - int(count.sum()) + np.cumsum(count) - count
+        if end > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(max(end - len(self.pool), len(self.pool) // 4, 1 << 16), self.kind)])
+        self.pool[self.filled : end] = np.concatenate(made)
+        self.filled = end
+        self._put(keys, start, count)
+
+    def _put(self, keys: np.ndarray, start: np.ndarray, count: np.ndarray) -> None:
+        joined = [np.concatenate(x) for x in zip(self.last, (keys, start, count))]
+        if len(joined[0]) > max(20_000, len(self.large[0]) // 4):
+            joined = [np.concatenate(x) for x in zip(self.large, joined)]
+            order = np.argsort(joined[0])
+            self.large, self.last = [x[order] for x in joined], [x[:0] for x in joined]
+        else:
+            order = np.argsort(joined[0])
+            self.last = [x[order] for x in joined]
+
+    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and number of ids of each piece; the number is -1 for those not remembered."""
+        start, count = np.zeros(len(keys), np.int64), np.full(len(keys), -1, np.int64)
+        for table in (self.large, self.last):
+            open_ = np.flatnonzero(count < 0)
+            at = lookup(table[0], keys[open_])
+            hit = at >= 0
+            start[open_[hit]], count[open_[hit]] = table[1][at[hit]], table[2][at[hit]]
+        return start, count
+
+    def _placed(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start and number of ids of every piece, and the number of the piece that begins each text or follows the last."""
+        if len(self.large[0]) + len(self.last[0]) > self.most:
+            self._forget()
+        whole = data.tobytes()
+        cuts = safe_cuts(data)
+        if any(s in whole for s in self.special):  # white space beside them is cut otherwise
+            kept = np.array([any(s in whole[i:j] for s in self.special) for i, j in zip(ends, ends[1:])])
+            cuts = cuts[~kept[np.searchsorted(ends[:-1], cuts, "right") - 1]]
+        begins = np.zeros(len(data) + 1, bool)
+        begins[cuts] = begins[ends[:-1]] = True
+        lo = np.flatnonzero(begins[:-1])
+        hi = np.append(lo[1:], len(data))
+        keys = byte_ranges(data, lo, hi)
+        start, count = self._find(keys)
+        if (count < 0).any():
+            at = np.flatnonzero(count < 0)
+            at = at[np.argsort(keys[at], kind="stable")]
+            at = at[np.concatenate([[True], keys[at[1:]] != keys[at[:-1]]])]
+            self._learn(keys[at], [whole[i:j] for i, j in zip(lo[at].tolist(), hi[at].tolist())])
+            start, count = self._find(keys)
+        return start, count, np.searchsorted(lo, ends)
+
+    def encode(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids of all texts, number of ids of each text) of blocks of a string column."""
+        for data, ends in raw_blocks(column):
+            start, count, at = self._placed(data, ends)
+            if self.end is not None:  # one more piece after each text: the end id, with which the pool begins
+                start, count = np.insert(start, at[1:], 0), np.insert(count, at[1:], 1)
+                at = at + np.arange(len(at))
+            total = np.concatenate([[0], np.cumsum(count)])
+            yield self.pool[np.repeat(start - total[:-1], count) + np.arange(total[-1])], np.diff(total[at])
+
+
+class PieceCounts(PieceIds):
+    """Only the numbers of ids: ``make`` gives a number for each piece."""
+
+    def __init__(self, make: Callable[[list[bytes]], list[int]], most: int = REMEMBERED):
+        super().__init__(make, "<u2", most=most)
+
+    def _learn(self, keys: np.ndarray, raw: list[bytes]) -> None:
+        self._put(keys, np.zeros(len(keys), np.int64), np.array(self.make(raw), np.int32))
+
+    def counts(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """Number of ids of each text, by blocks of a string column."""
+        for data, ends in raw_blocks(column):
+            _, count, at = self._placed(data, ends)
+            yield np.diff(np.concatenate([[0], np.cumsum(count)])[at])
+
+
 class ByPiece:
     """``encode`` of whole texts by pieces: the values of the first piece and of the others, each with its space."""
 
-    def __init__(self, encode: Callable, most: int = REMEMBERED):
+    def __init__(self, encode: Callable, most: int = 600_000):
         self.first = Remembered(encode, most // 8)
         self.rest = Remembered(lambda x: encode(" " + x), most)
 

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimenta.llm.pieces import pieces
+from sedimenta.llm.pieces import REMEMBERED, PieceIds
 from sedimenta.llm.shared import new_path
 from sedimenta.llm.wordhash import U64, mix
 
@@ -49,8 +49,6 @@ VOCABULARY = "byte_bpe_50k.json"
 MAGIC = b"SEDTOK01"
 HEAD = struct.Struct("<8sIQQ")
 END_ID = 0
-#: Pieces that a worker remembers at most (about 200 MB).
-REMEMBERED = 1_000_000
 NULL_KEY = 2**63 - 1
 #: Keys that an index bucket has about.
 BUCKET_KEYS = 100_000
@@ -84,43 +82,41 @@ def fetch(uri: str, at: int = 0, n: int | None = None) -> bytes:
 
 
 class Encoder:
-    """Whole texts to ids by the tokenizers library, piece by piece where that is the same."""
+    """Whole texts to ids by the tokenizers library, with an end id after each text."""
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.width = 2 if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        self.width = 2 if max(vocabulary.values(), default=0) < 1 << 16 else 4
         self.kind = f"<u{self.width}"
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.young: dict[str, bytes] = {}  # by piece, less the space in front
-        self.old: dict[str, bytes] = {}
-        self.half = remembered // 2
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, self.kind).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, wanted: set[str]) -> None:
-        """Have the bytes of all wanted pieces in ``young``."""
-        if len(self.young) > self.half:
-            self.young, self.old = {}, self.young
-        new = wanted - self.young.keys()
-        again = new & self.old.keys()
-        self.young.update({x: self.old[x] for x in again})
-        new = list(new - again)
-        self.young.update(zip(new, self._encode([" " + x for x in new])))
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as bytes."""
-        cut = []
-        for t in texts:
-            t = t or ""
-            # white space beside special strings is cut otherwise
-            cut.append([t] if any(s in t for s in self.special) else pieces(t))
-        self._learn(set().union(*(c[1:] for c in cut)))
-        of = self.young.__getitem__
-        return [b"".join([h, *map(of, c[1:])]) for h, c in zip(self._encode([c[0] for c in cut]), cut)]
+        self.bytes_of = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        for t, i in vocabulary.items():
+            self.bytes_of[i] = len(t)  # one character of a token stands for one byte
+        special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
+        self.encode = PieceIds(self._pieces, self.kind, special, END_ID, remembered).encode
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, self.kind) for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _pieces(self, raw: list[bytes]) -> list[np.ndarray]:
+        """Ids of each piece: those that begin with one space and end in a visible ASCII character in rows, cut by their tokens' bytes."""
+        out: list = [None] * len(raw)
+        rows, alone = [], []
+        for i, x in enumerate(raw):
+            (rows if len(x) > 1 and x[0] == 32 and 32 < x[1] < 127 and 32 < x[-1] < 127 else alone).append(i)
+        for i, ids in zip(alone, self._ids([raw[i].decode() for i in alone])):
+            out[i] = ids
+        for a in range(0, len(rows), 512):
+            some = rows[a : a + 512]
+            ids = self._ids([b"".join([raw[i] for i in some]).decode()])[0]
+            ends = np.cumsum(self.bytes_of[ids])
+            cut = np.searchsorted(ends, np.cumsum([len(raw[i]) for i in some])) + 1
+            for i, part in zip(some, np.split(ids, cut[:-1])):
+                out[i] = part
+        return out
 
 
 @lru_cache(4)
@@ -214,16 +210,14 @@ def _write_shard(batches: Iterator[pa.RecordBatch], uri: str, vocabulary: str, b
     from pyspark import TaskContext
 
     e, shard = encoder(vocabulary), TaskContext.get().partitionId()
-    end = np.array([END_ID], e.kind).tobytes()
     keys, counts = [], []
 
     def payload() -> Iterator[bytes]:
         for batch in batches:
             ids = batch.column(0)
-            for a in range(0, len(batch), 256):
-                out = [x + end for x in e.encode(batch.column(1).slice(a, 256).to_pylist())]
-                counts.extend(len(x) // e.width for x in out)
-                yield b"".join(out)
+            for out, n in e.encode(batch.column(1)):
+                counts.append(n)
+                yield out.tobytes()
             keys.append(np.array(ids.fill_null(NULL_KEY).to_numpy(zero_copy_only=False), np.int64))
 
     store, path = _fs(f"{uri}/shard-{shard:06d}.tok")
@@ -233,7 +227,7 @@ def _write_shard(batches: Iterator[pa.RecordBatch], uri: str, vocabulary: str, b
         for c in payload():
             f.write(c)
         key = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-        n = np.array(counts, np.int64)
+        n = np.concatenate(counts).astype(np.int64) if counts else np.zeros(0, np.int64)
         f.write(np.stack([key.view(U64), n.view(U64)], 1).astype("<u8").tobytes())
         f.write(HEAD.pack(MAGIC, e.width, len(key), int(n.sum())))
     if not len(key):

@@ -124,12 +124,10 @@ class Block:
         return _ranges(self.words(lane), _lane(lane)[2], self.off[:-1], self.off[1:])
 
 
-def blocks(column: pa.Array, keep: np.ndarray, fold: bool = False, most: int = BLOCK_BYTES) -> Iterator[Block]:
-    """The texts of a string column (null: empty) as blocks of about ``most`` bytes."""
+def raw_blocks(column: pa.Array, most: int = BLOCK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(bytes, ends) of whole texts of a string column (null: empty), about ``most`` bytes at a time."""
     if column.null_count:
         column = pc.fill_null(column, "")
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
     n = len(column)
     if not n:
         return
@@ -141,10 +139,24 @@ def blocks(column: pa.Array, keep: np.ndarray, fold: bool = False, most: int = B
     while a < n:
         b = max(a + 1, int(np.searchsorted(ends, ends[a] + most, "right")) - 1)
         b = min(b, n)
-        yield Block(a, raw[ends[a] : ends[b]], ends[a : b + 1] - ends[a], keep, fold)
+        yield raw[ends[a] : ends[b]], ends[a : b + 1] - ends[a]
         a = b
 
 
+def blocks(column: pa.Array, keep: np.ndarray, fold: bool = False, most: int = BLOCK_BYTES) -> Iterator[Block]:
+    """The texts of a string column (null: empty) as blocks of about ``most`` bytes."""
+    first = 0
+    for data, ends in raw_blocks(column, most):
+        yield Block(first, data, ends, keep, fold)
+        first += len(ends) - 1
+
+
+def byte_ranges(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Hash of data[lo:hi] for each pair."""
+    table, base, _ = _lane(0)
+    return _ranges(table[data], base, lo, hi)
+
+
 def winnow(grams: np.ndarray, width: int, ok: np.ndarray) -> np.ndarray:
     """Positions that hold the leftmost minimum of some window of ``width`` consecutive grams.
 
@@ -178,6 +190,11 @@ def lookup(table: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Index of each value in a sorted table, -1 where absent."""
     if not len(table):
         return np.full(len(values), -1)
-    i = np.searchsorted(table, values)
+    if len(values) > 256 and len(table) > 4096:  # in order, so that a large table is walked through once
+        order = np.argsort(values)
+        i = np.empty(len(values), np.int64)
+        i[order] = np.searchsorted(table, values[order])
+    else:
+        i = np.searchsorted(table, values)
     i[i == len(table)] = 0
     return np.where(table[i] == values, i, -1)
