@@ -9,7 +9,7 @@ follows the text where a stage changes it.
 2. ``line_dedup``: later copies of runs of lines go; a document that has no line
    left goes, unless it had none to lose.
 3. ``ngram_join``: of every component of similar documents the one of least id
-   stays (one row of it, if rows repeat); documents without words or id stay.
+   stays (one row of a text, if rows repeat); documents without words or id stay.
 4. ``decontaminate``: documents that share a window of words with a benchmark
    item go.
 5. ``byte_bpe``: the documents left are encoded; the last result has doc_id,
@@ -40,14 +40,16 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = ngram_join.jaccard_components(docs).where("n_links > 0 AND doc_id IS NOT NULL")
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    repeated = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id", F.lit(True).alias("again"))
-    left = docs.join(gone, "doc_id", "left_anti")
-    if repeated.isEmpty():
-        return left.select(*docs.columns)
-    twice = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return left.join(repeated, "doc_id", "left_anti").select(*docs.columns).union(twice.select(*docs.columns))
+    found = ngram_join.jaccard_components(docs, with_hash=True).where("n_links > 0 AND doc_id IS NOT NULL")
+    key = [F.col("doc_id"), F.col("text_hash")]
+    gone = found.where("doc_id <> component_id").select(*key).distinct()
+    again = found.where("doc_id = component_id").groupBy(*key).count().where("count > 1").select(*key)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
+    left = rows.join(gone, ["doc_id", "text_hash"], "left_anti")
+    if again.isEmpty():
+        return left.select("row.*")
+    once = left.join(again, ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"])
+    return left.join(again, ["doc_id", "text_hash"], "left_anti").union(once.select(*left.columns)).select("row.*")
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

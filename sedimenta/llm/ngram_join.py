@@ -121,12 +121,13 @@ def _per_document(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> It
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(b.first, b.n),
+                    batch.column(2).slice(b.first, b.n),
                     pa.array(sizes),
                     pa.array(d[:, 0].copy().view(np.int64)),
                     pa.array(d[:, 1].copy().view(np.int64)),
                     pa.array([sum(levels(int(s), percent)) for s in sizes], pa.int64()),
                 ],
-                ["doc_id", "n", "d1", "d2", "names"],
+                ["doc_id", "text_hash", "n", "d1", "d2", "names"],
             )
 
 
@@ -273,14 +274,19 @@ def _multiply(table: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": a.astype(np.int64), "b": b.astype(np.int64), "links": c.astype(np.int64)})
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links of every row."""
+def jaccard_components(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT, with_hash: bool = False
+) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links of every row, and if asked for text_hash, the text's xxhash64."""
     if not 1 <= percent <= 100:
         raise ValueError("percent is 1 to 100")
     d = docs.select(
         F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")
     )
-    per = written(d.mapInArrow(lambda it: _per_document(it, n, percent), "doc_id long, n long, d1 long, d2 long, names long"), "sets")
+    per = written(
+        d.withColumn("text_hash", F.xxhash64("text")).mapInArrow(lambda it: _per_document(it, n, percent), "doc_id long, text_hash long, n long, d1 long, d2 long, names long"),
+        "sets",
+    )
     classes = written(
         per.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.first("n").alias("n")), "classes"
     )
@@ -340,6 +346,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             F.col("n").alias("n_shingles"),
             F.when(F.col("n") == 0, F.when(F.col("doc_id") != NULL_ID, F.col("doc_id"))).otherwise(F.when(own != NULL_ID, own)).alias("component_id"),
             F.when(F.col("n") == 0, 0).otherwise(F.col("n_links")).cast("long").alias("n_links"),
+            *(["text_hash"] if with_hash else []),
         )
     )
 
