@@ -20,11 +20,12 @@ import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedimenta.llm.pieces import REMEMBERED, ByPiece, Remembered
+from sedimenta.llm.pieces import REMEMBERED, PieceIds, Remembered
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -38,8 +39,9 @@ class Codec:
         self.ranks, self.find = ranks, regex.compile(pattern).findall
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.words = [0] * ((max(ranks.values(), default=0) >> 8) + 1)  # lower level of the bitmap; all zero between calls
-        self.one = Remembered(lambda x: self.merge(x.encode()), remembered)
-        self.piece = ByPiece(self._piece, remembered)
+        self.one = Remembered(lambda x: self.merge(x.encode()))
+        self.by_piece = PieceIds(self._pieces, "<i4", most=remembered)
+        self.digits = {i: str(i) for i in ranks.values()}
 
     @classmethod
     def from_file(cls, path: str, pattern: str) -> Codec:
@@ -110,9 +112,8 @@ class Codec:
             i = end[i]
         return out
 
-    def _piece(self, text: str) -> tuple[int, str, bytes]:
-        ids = [i for t in self.find(text) for i in self.one[t]]
-        return len(ids), ",".join(map(str, ids)), self.decode(ids)
+    def _pieces(self, raw: list[bytes]) -> list[np.ndarray]:
+        return [np.array(self.encode(x.decode()), np.int32) for x in raw]
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of a whole text."""
@@ -121,12 +122,19 @@ class Codec:
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
-    def summary(self, text: str | None) -> tuple[int, str, str]:
-        """Number of ids, digest of the ids, digest of what the ids decode to."""
-        found = [x for x in self.piece.values(text or "") if x[0]]
-        ids = ",".join([x[1] for x in found])
-        back = b"".join([x[2] for x in found])
-        return sum([x[0] for x in found]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back).hexdigest()
+    def encode_column(self, column: pa.Array) -> Iterator[list[int]]:
+        """Ids of every text of a column (null: none)."""
+        for ids, count in self.by_piece.encode(column):
+            listed, at = ids.tolist(), 0
+            for n in count.tolist():
+                yield listed[at : at + n]
+                at += n
+
+    def summaries(self, column: pa.Array) -> Iterator[tuple[int, str, str]]:
+        """Number of ids, digest of the ids, digest of what the ids decode to, of every text of a column."""
+        for ids in self.encode_column(column):
+            shown = ",".join(map(self.digits.__getitem__, ids))
+            yield len(ids), hashlib.sha256(shown.encode()).hexdigest(), hashlib.sha256(self.decode(ids)).hexdigest()
 
 
 @lru_cache(4)
@@ -143,7 +151,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
         for batch in batches:
             for a in range(0, len(batch), 64):
                 part = batch.slice(a, 64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([c.encode(t) for t in part.column(1).to_pylist()], pa.list_(pa.int32()))], ["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(c.encode_column(part.column(1))), pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return _own(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -171,7 +179,7 @@ def encode_report(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for batch in batches:
-            rows = [c.summary(t.as_py()) for t in batch.column(1)]
+            rows = list(c.summaries(batch.column(1)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],

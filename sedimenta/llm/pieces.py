@@ -16,8 +16,8 @@ import pyarrow as pa
 
 from sedimenta.llm.wordhash import U64, byte_ranges, lookup, raw_blocks
 
-#: Pieces that a worker remembers at most (about 50 MB).
-REMEMBERED = 1_500_000
+#: Pieces that a worker remembers at most (about 35 MB).
+REMEMBERED = 1_000_000
 
 _AMBIGUOUS = re.compile(r" \s|\s ")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -35,7 +35,7 @@ class Remembered(dict):
     what is used again meanwhile moves to the younger.
     """
 
-    def __init__(self, make: Callable, most: int = 400_000):
+    def __init__(self, make: Callable, most: int = 250_000):
         self.make, self.half, self.older = make, most // 2, {}
 
     def __missing__(self, key: str):
@@ -169,15 +169,3 @@ class PieceCounts(PieceIds):
         for data, ends in raw_blocks(column):
             _, count, at = self._placed(data, ends)
             yield np.diff(np.concatenate([[0], np.cumsum(count)])[at])
-
-
-class ByPiece:
-    """``encode`` of whole texts by pieces: the values of the first piece and of the others, each with its space."""
-
-    def __init__(self, encode: Callable, most: int = 600_000):
-        self.first = Remembered(encode, most // 8)
-        self.rest = Remembered(lambda x: encode(" " + x), most)
-
-    def values(self, text: str) -> list:
-        head, *tail = pieces(text)
-        return [self.first[head], *map(self.rest.__getitem__, tail)]

@@ -26,11 +26,13 @@ from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedimenta.llm.pieces import Remembered, pieces
+from sedimenta.llm.pieces import PieceCounts, Remembered, pieces
 
 VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
@@ -70,6 +72,7 @@ class Counter:
         self.word = Remembered(self._word)
         self.piece = Remembered(self._count)
         self.follows = Remembered(self._follows)
+        self.by_piece = PieceCounts(lambda raw: [self._count(x.decode()) for x in raw])
 
     # two tokens side by side
 
@@ -210,14 +213,15 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(path)
         for batch in batches:
-            out = []
-            for x in batch.column(1):
-                t = x.as_py() or ""
-                n = c.count(t)
-                out.append((len(t.encode()), n, n > limit, c.fitting(t, limit) if n > limit else len(t)))
-            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64())
+            text = pc.fill_null(batch.column(1), "")
+            n = np.concatenate([np.zeros(0, np.int64), *c.by_piece.counts(text)])
+            over = n > limit
+            fits = pc.utf8_length(text).to_numpy(zero_copy_only=False).astype(np.int64)
+            for i in np.flatnonzero(over).tolist():
+                fits[i] = c.fitting(text[i].as_py(), limit)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array([r[i] for r in out], k) for i, k in enumerate(kinds))], ["doc_id", "n_bytes", "n_tokens", "over_limit", "fits_chars"]
+                [batch.column(0), pc.binary_length(text).cast(pa.int64()), pa.array(n), pa.array(over), pa.array(fits)],
+                ["doc_id", "n_bytes", "n_tokens", "over_limit", "fits_chars"],
             )
 
     own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
