@@ -278,6 +278,55 @@ def catalog_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Engine(spark, d.root.rsplit("/", 1)[0]).tables()
 
 
+def catalog_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _ingested(spark, sf_dir)
+    return Engine(spark, d.root.rsplit("/", 1)[0]).columns("events")
+
+
+def sql_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Engine(spark, sf_dir).info().where("name IN ('identifier_quote', 'identifier_case', 'transactions')")
+
+
+def prepared_statement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prepared once, run with a named parameter."""
+    d = _ingested(spark, sf_dir)
+    engine = Engine(spark, d.root.rsplit("/", 1)[0])
+    token = engine.open()
+    engine.plan("SELECT * FROM events", token)
+    sql = "SELECT user_id, count(*) AS n FROM events WHERE event_type = :kind GROUP BY user_id"
+    held = engine.resolve(token)
+    held.prepared["by_kind"] = sql
+    return held.spark.createDataFrame(engine.execute("by_kind", token, {"kind": "click"}))
+
+
+def ticket_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Planned under a ticket, fetched once as Arrow."""
+    d = _ingested(spark, sf_dir)
+    engine = Engine(spark, d.root.rsplit("/", 1)[0])
+    token = engine.open()
+    return spark.createDataFrame(engine.fetch(engine.ticket("SELECT event_type, max(value) AS hi FROM events GROUP BY event_type", token), token))
+
+
+def external_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Parquet path named in SQL, without a dataset."""
+    engine = Engine(spark, sf_dir)
+    token = engine.open()
+    engine.run(f"CREATE TEMPORARY VIEW o USING parquet OPTIONS (path '{sf_dir}/orders.parquet')", token)
+    return engine.plan("SELECT o_orderpriority, count(*) AS n FROM o GROUP BY o_orderpriority", token)
+
+
+def native_query_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The native query's text over an ingested dataset, by line, less the dataset's address."""
+    text = native_query.render(native_query.run(_ingested(spark, sf_dir), ["value"], ["event_type=click"], "max", "2024-01-02", "2024-01-05"))
+    return spark.createDataFrame(list(enumerate(text.split("\n")[1:])), "line long, text string")
+
+
+def storage_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects under each shard of a dataset."""
+    d = _ingested(spark, sf_dir, "monthly")
+    return storage.summarize(spark, d.root).select("prefix", (F.col("objects") > 0).alias("some"), (F.col("bytes") > 0).alias("full"))
+
+
 def rollup_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals by event type from a rollup by shard, user and type."""
     cache.write_rollup(d := _ingested(spark, sf_dir), "users", ["user_id", "event_type"], ["value"])
@@ -345,6 +394,13 @@ def queries() -> dict:
         "fluent_from_sql": fluent_from_sql,
         "session_view": session_view,
         "catalog_tables": catalog_tables,
+        "catalog_columns": catalog_columns,
+        "sql_info": sql_info,
+        "prepared_statement": prepared_statement,
+        "ticket_once": ticket_once,
+        "external_table": external_table,
+        "native_query_text": native_query_text,
+        "storage_summary": storage_summary,
         "rollup_reuse": rollup_reuse,
         "filter_narrowing": filter_narrowing,
         "stream_tumbling": stream_tumbling,
@@ -398,6 +454,17 @@ def oracle_sql() -> dict:
         "fluent_define": _with_stored("SELECT date_trunc('day', ts)::TIMESTAMP AS day, count(DISTINCT user_id) AS users, round(sum(value / 100), 4) AS euros FROM e GROUP BY 1"),
         "fluent_from_sql": _with_stored("SELECT user_id, max(value) AS hi FROM e WHERE value > 1000 GROUP BY 1"),
         "session_view": "SELECT event_type, count(*) AS n FROM events WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'purchase') GROUP BY 1",
+        "catalog_columns": "SELECT * FROM (VALUES ('ts', 'timestamp_ntz', 'time', 0::INT, false), ('value', 'bigint', 'metric', 2, false), ('user_id', 'bigint', 'int', 0, false), ('event_type', 'string', 'string', 0, false)) t(name, type, kind, scale, nullable)",
+        "sql_info": "SELECT * FROM (VALUES ('identifier_quote', '\"'), ('identifier_case', 'insensitive'), ('transactions', 'false')) t(name, value)",
+        "prepared_statement": "SELECT user_id, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY 1",
+        "ticket_once": _with_stored("SELECT event_type, max(value) AS hi FROM e GROUP BY 1"),
+        "external_table": "SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1",
+        "native_query_text": _with_stored(
+            "SELECT unnest([0, 1, 2, 3, 4])::BIGINT AS line, unnest(['range:    2024-01-02T00:00:00Z .. 2024-01-05T23:59:59Z', 'shards:   4 scanned', 'filter:   event_type=click', "
+            "'matched:  ' || count(*) FILTER (WHERE event_type = 'click') || ' / ' || count(*) || ' docs', 'value:   max = ' || max(value) FILTER (WHERE event_type = 'click')]) AS text "
+            "FROM e WHERE ts::DATE BETWEEN DATE '2024-01-02' AND DATE '2024-01-05'"
+        ),
+        "storage_summary": "SELECT DISTINCT '_shard=' || strftime(ts, '%Y-%m') AS prefix, true AS some, true AS \"full\" FROM events",
         "rollup_reuse": _with_stored("SELECT event_type, count(*) AS docs, sum(value)::BIGINT AS sum_value, avg(value) AS avg_value FROM e GROUP BY 1"),
         "filter_narrowing": _with_stored("SELECT event_id, value FROM e WHERE user_id > 20 AND event_type = 'click'"),
         "stream_tumbling": "SELECT date_trunc('day', ts)::TIMESTAMP AS bucket, event_type, count(*) AS n, max(value) AS hi FROM events GROUP BY 1, 2",

@@ -255,6 +255,33 @@ def test_config_and_metrics(tmp_path):
     assert 'le="0.025"} 1' in m.text() and m.status()["failures"] == 1 and len(m.status()["recent"]) == 2
 
 
+def test_http(spark, taxi):
+    import json
+    import urllib.request
+
+    from sedimenta.ops_http import answer, serve
+
+    engine = Engine(spark, taxi.root.rsplit("/", 1)[0])
+    engine.run("SELECT count(*) AS n FROM taxi")
+    server = serve(engine, port=0)
+    try:
+        get = lambda p: urllib.request.urlopen(f"http://127.0.0.1:{server.server_port}{p}", timeout=10).read().decode()
+        assert get("/healthz") == "ok" and get("/readyz") == "ready"
+        assert json.loads(get("/status.json"))["queries"] == 1 and "sedimenta_query_seconds_count 1" in get("/metrics")
+        assert "count(*)" in get("/status") and get("/favicon.svg").startswith("<svg")
+    finally:
+        server.shutdown()
+    engine.drain(0)
+    assert answer(engine, "/readyz")[0] == 503 and answer(engine, "/nothing")[0] == 404
+
+
+def test_result_forms(spark, taxi):
+    with connect(Engine(spark, taxi.root.rsplit("/", 1)[0])) as c:
+        q = c.session("taxi").select("fare")
+        assert sorted(q.to_pandas()["fare"]) == [100, 200, 300, 400, 500, 600]
+        assert [b.num_rows for b in q.batches(4)] == [4, 2]
+
+
 def test_command_line(spark, taxi, capsys):
     cli_run(parser().parse_args(["query", taxi.root, "--metric", "fare", "--filter", "country=de", "--aggregate", "max"]), spark)
     cli_run(parser().parse_args(["sql", taxi.root, "SELECT count(*) AS n FROM t"]), spark)
