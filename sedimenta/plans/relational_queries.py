@@ -76,7 +76,7 @@ STATEMENTS: dict[str, str] = {
     "correlated": "SELECT o_orderkey FROM orders o WHERE o_totalprice = (SELECT max(i.o_totalprice) FROM orders i WHERE i.o_custkey = o.o_custkey)",
     "lateral": "SELECT n_name, t.k FROM nation, LATERAL (SELECT n_nationkey * 10 AS k) t",
     # windows, sorts, limits, set operations
-    "win_rank": "SELECT event_id, row_number() OVER w AS rn, rank() OVER w AS rk, dense_rank() OVER w AS dr, ntile(4) OVER w AS nt FROM events WINDOW w AS (PARTITION BY event_type ORDER BY value, event_id)",
+    "win_rank": "SELECT event_id, CAST(row_number() OVER w AS BIGINT) AS rn, CAST(rank() OVER w AS BIGINT) AS rk, CAST(dense_rank() OVER w AS BIGINT) AS dr, CAST(ntile(4) OVER w AS BIGINT) AS nt FROM events WINDOW w AS (PARTITION BY event_type ORDER BY value, event_id)",
     "win_percent": "SELECT event_id, round(percent_rank() OVER w, 9) AS pr, round(cume_dist() OVER w, 9) AS cd FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)",
     "win_lag_lead": "SELECT event_id, lag(event_id) OVER w AS prev, lead(event_id, 2) OVER w AS next2, first_value(event_id) OVER w AS f FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)",
     "win_last_nth": "SELECT event_id, last_value(event_id) OVER w AS l, nth_value(event_id, 2) OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)",
@@ -94,7 +94,7 @@ STATEMENTS: dict[str, str] = {
     "cte_derived": "WITH big AS (SELECT * FROM orders WHERE o_totalprice > 150000), per AS (SELECT o_custkey, count(*) AS n FROM big GROUP BY o_custkey) SELECT n, count(*) AS customers FROM (SELECT * FROM per) t GROUP BY n",
     "values_list": "SELECT k, v FROM (VALUES (1, 'a'), (2, 'b'), (3, NULL)) AS t(k, v)",
     # scalar functions
-    "str_fns": "SELECT p_partkey, upper(p_name) AS u, lower(p_brand) AS l, length(p_name) AS n, substr(p_type, 1, 4) AS s, trim(concat('  ', p_name, ' ')) AS t, replace(p_type, ' ', '_') AS r, split_part(p_type, ' ', 1) AS f, lpad(p_brand, 12, '.') AS lp, reverse(p_brand) AS rv FROM part",
+    "str_fns": "SELECT p_partkey, upper(p_name) AS u, lower(p_brand) AS l, CAST(length(p_name) AS BIGINT) AS n, substr(p_type, 1, 4) AS s, trim(concat('  ', p_name, ' ')) AS t, replace(p_type, ' ', '_') AS r, split_part(p_type, ' ', 1) AS f, lpad(p_brand, 12, '.') AS lp, reverse(p_brand) AS rv FROM part",
     "regexp_fns": "SELECT p_partkey, regexp_replace(p_type, '[AEIOU]', '*') AS r, p_name rlike 'a.*e' AS m FROM part||SELECT p_partkey, regexp_replace(p_type, '[AEIOU]', '*', 'g') AS r, regexp_matches(p_name, 'a.*e') AS m FROM part",
     "date_fns": "SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS d, quarter(o_orderdate) AS q, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP_NTZ) AS t FROM orders||SELECT o_orderkey, year(o_orderdate)::INT AS y, month(o_orderdate)::INT AS m, day(o_orderdate)::INT AS d, quarter(o_orderdate)::INT AS q, date_trunc('month', o_orderdate)::TIMESTAMP AS t FROM orders",
     "date_arith": "SELECT o_orderkey, o_orderdate + INTERVAL '1' DAY AS next_day, CAST(extract(HOUR FROM o_orderdate) AS INT) AS h FROM orders",
