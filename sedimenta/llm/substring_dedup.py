@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sedimenta.llm.shared import written
-from sedimenta.llm.wordhash import SPACED, blocks, winnow
+from sedimenta.llm.wordhash import SPACED, blocks, mix, winnow
 
 SIZE = 50
 #: Ids (8 bytes each, so 16 MB) that are sent to every task at most; beyond it all documents are shuffled.
@@ -76,7 +76,7 @@ def _first_pass(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Rec
 
 
 def _windows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """doc_id, d1, p, h1, h2 of every window around a surviving half; columns: doc_id, text, d1, halves.
+    """doc_id, d1, p, h1, h2 of every different window around a surviving half; columns: doc_id, text, d1, halves.
 
     Rows came together by their id; those of another text than d1 names are left out.
     """
@@ -104,6 +104,12 @@ def _windows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Record
             doc = np.searchsorted(b.off, p, "right") - 1
             fits = b.whole(0)[doc] == own[doc]
             p, doc = p[fits], doc[fits]
+            # a document names a window once, where it is first; _strip finds the other places
+            key = b.grams(size, 0, p) ^ mix(doc.astype(np.uint64) + np.uint64(1))
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            first = np.sort(order[np.concatenate([[True], key[1:] != key[:-1]])]) if len(order) else order
+            p, doc = p[first], doc[first]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(pa.array(doc + b.first)),
@@ -122,11 +128,13 @@ def _strip(batches: Iterator[pa.RecordBatch], size: int, with_text: bool) -> Ite
         texts, names, starts = batch.column(1), batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64), batch.column(3)
         rows, out = [], []
         for b in blocks(texts, SPACED):
+            grams = b.grams(size)
             for i in np.flatnonzero(b.whole(0) == names[b.first : b.first + b.n]).tolist():
                 r = b.first + i
                 words = split_words(texts[r].as_py())
                 gone = np.zeros(len(words) + 1, np.int64)
-                p = starts[r].values.to_numpy(zero_copy_only=False)
+                own = grams[b.off[i] : b.off[i + 1] - size + 1]
+                p = np.flatnonzero(np.isin(own, own[starts[r].values.to_numpy(zero_copy_only=False)]))
                 np.add.at(gone, p, 1)
                 np.add.at(gone, p + size, -1)
                 covered = np.cumsum(gone)[:-1] > 0
