@@ -69,9 +69,9 @@ class Counter:
         self.longest = max(map(len, self.vocab)) if self.vocab else 0
         self.symbols = _byte_symbols()
         self.find = regex.compile(PATTERN)
-        self.word = Remembered(self._word)
-        self.piece = Remembered(self._count)
-        self.follows = Remembered(self._follows)
+        self.word = Remembered(self._word, 600_000)
+        self.piece = Remembered(self._count, 50_000)
+        self.follows = Remembered(self._follows, 600_000)
         self.by_piece = PieceCounts(lambda raw: [self._count(x.decode()) for x in raw])
 
     # two tokens side by side
