@@ -5,7 +5,8 @@ end.  For a pre-token of n symbols the table holds, for every i, the last token
 of the encoding of the first i symbols without the end mark: among the tokens
 that end there it is the one that may follow the last token of what is in front
 of it, where two tokens may follow one another if merging their symbols gives
-just those two.  Its count is one more than that of what is in front.  The same
+just those two.  Its count is one more than that of what is in front.  The table
+is filled from the front, each prefix being extended by the tokens that go on.  The same
 step with the end mark gives the exact count of the prefix as a text of its
 own.  Over a text, counts before each pre-token are summed up, so any prefix,
 truncation or budget is answered from the table without encoding again.
@@ -67,11 +68,14 @@ class Counter:
         self.vocab = model["vocab"]
         self.rank = {(m if isinstance(m, str) else " ".join(m)): i for i, m in enumerate(model["merges"])}
         self.longest = max(map(len, self.vocab)) if self.vocab else 0
+        bodies = {t[: -len(self.end)] if self.end and t.endswith(self.end) else t for t in self.vocab}
+        self.starts = {t[:i] for t in bodies for i in range(1, len(t) + 1)}  # whatever some token begins with
         self.symbols = _byte_symbols()
         self.find = regex.compile(PATTERN)
         self.word = Remembered(self._word, 600_000)
         self.piece = Remembered(self._count, 50_000)
         self.follows = Remembered(self._follows, 600_000)
+        self.whole = Remembered(lambda t: 1 if self._merged(self._split(t)) == [t] else 2, 2 * len(self.vocab) + 2)
         self.by_piece = PieceCounts(lambda raw: [self._count(x.decode()) for x in raw])
 
     # two tokens side by side
@@ -105,37 +109,46 @@ class Counter:
 
     # one pre-token
 
-    def table(self, symbols: str) -> tuple[list[int], list[int]]:
-        """Counts of the prefixes of a pre-token's symbols: open (more follows) and closed (the end mark set)."""
-        last, count = [""], [0]
-        closed = [0]
-        for i in range(1, len(symbols) + 1):
-            closed.append(self._step(symbols, i, last, count, self.end)[1])
-            token, n = self._step(symbols, i, last, count, "")
-            last.append(token)
-            count.append(n)
-        return count, closed
-
-    def _step(self, symbols: str, i: int, last: list[str], count: list[int], mark: str) -> tuple[str, int]:
-        vocab, follows = self.vocab, self.follows
+    def _open(self, symbols: str, most: int) -> tuple[list[str], list[int]]:
+        """Last token and number of tokens of each prefix of up to ``most`` symbols, without the end mark.
+
+        Filled from the front: what is known of a prefix is extended by every
+        token that begins there and may follow, until no token goes on so.
+        """
+        vocab, starts, follows, whole = self.vocab, self.starts, self.follows, self.whole
+        last, count = [""] * (most + 1), [0] * (most + 1)
+        for j in range(most):
+            front, n = last[j], count[j] + 1
+            if j and not front:
+                raise ValueError(f"no token ends at {j} of {symbols!r}")
+            for i in range(j + 1, most + 1):
+                token = symbols[j:i]
+                if token not in starts:
+                    break
+                if token in vocab and (follows[f"{front} {token}"] if j else whole[token]) == 1:
+                    last[i], count[i] = token, n
+        return last, count
+
+    def _closed(self, symbols: str, i: int, last: list[str], count: list[int]) -> int:
+        """Number of tokens of the first i symbols with the end mark set."""
         for j in range(max(0, i - self.longest), i):
-            token = symbols[j:i] + mark
-            if token in vocab and (j == 0 or follows[f"{last[j]} {token}"] == 1):
-                if j == 0 and i - j > 1 and self._merged(self._split(token)) != [token]:
-                    continue
-                return token, count[j] + 1
+            token = symbols[j:i] + self.end
+            if token in self.vocab and (self.follows[f"{last[j]} {token}"] if j else self.whole[token]) == 1:
+                return count[j] + 1
         raise ValueError(f"no token ends at {i} of {symbols!r}")
 
+    def table(self, symbols: str) -> tuple[list[int], list[int]]:
+        """Counts of the prefixes of a pre-token's symbols: open (more follows) and closed (the end mark set)."""
+        last, count = self._open(symbols, len(symbols))
+        return count, [0] + [self._closed(symbols, i, last, count) for i in range(1, len(symbols) + 1)]
+
     def _word(self, word: str) -> int:
         """Tokens of one pre-token, in the vocabulary's symbols."""
-        if word + self.end in self.vocab:
-            return 1  # every token that ends a pre-token is what its own merges give
-        last, count = [""], [0]
-        for i in range(1, len(word)):
-            token, n = self._step(word, i, last, count, "")
-            last.append(token)
-            count.append(n)
-        return self._step(word, len(word), last, count, self.end)[1]
+        token = word + self.end
+        if token in self.vocab and self.whole[token] == 1:
+            return 1
+        last, count = self._open(word, len(word) - 1)
+        return self._closed(word, len(word), last, count)
 
     def _symbols(self, token: str) -> str:
         return "".join([self.symbols[b] for b in token.encode()])
