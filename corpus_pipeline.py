@@ -8,8 +8,9 @@ follows the text where a stage changes it.
 1. ``quality_rules``: rejected documents go.
 2. ``line_dedup``: later copies of runs of lines go; a document that has no line
    left goes, unless it had none to lose.
-3. ``ngram_join``: of every component of similar documents the one of least id
-   stays (one row of a text, if rows repeat); documents without words or id stay.
+3. ``ngram_join``: of every component of similar documents (sets of five-word
+   shingles with a Jaccard similarity of 0.8 at least) the one of least id stays
+   (one row of a text, if rows repeat); documents without words or id stay.
 4. ``decontaminate``: documents that share a window of words with a benchmark
    item go.
 5. ``byte_bpe``: the documents left are encoded; the last result has doc_id,
@@ -24,6 +25,9 @@ from pyspark.sql import functions as F
 from sedimenta.llm import byte_bpe, decontaminate, line_dedup, ngram_join, quality_rules
 from sedimenta.llm.shared import written
 
+#: Words of a shingle and least similarity in per cent of near copies; op7's query has its own.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep(docs)
@@ -40,7 +44,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = ngram_join.jaccard_components(docs, with_hash=True).where("n_links > 0 AND doc_id IS NOT NULL")
+    found = ngram_join.jaccard_components(docs, n=NEAR_WORDS, percent=NEAR_PERCENT, with_hash=True).where("n_links > 0 AND doc_id IS NOT NULL")
     key = [F.col("doc_id"), F.col("text_hash")]
     gone = found.where("doc_id <> component_id").select(*key).distinct()
     again = found.where("doc_id = component_id").groupBy(*key).count().where("count > 1").select(*key)

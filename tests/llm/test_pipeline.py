@@ -92,3 +92,20 @@ def test_stages_on_odd_rows(spark, folder, odd, empty):
     kept = corpus_pipeline.near_stage(spark, odd, folder)
     assert sorted(len(r["text"]) for r in kept.where("doc_id = 1").collect()) == sorted({len(r["text"]) for r in odd.where("doc_id = 1").collect()})
     assert kept.where("doc_id IN (2, 3)").count() == 0
+
+
+def test_near_copies_of_five_words(spark, folder):
+    """Near copies of 5-word Jaccard 0.8 to 0.85, that 4-word shingles at 85 % do not link, lose all but the first."""
+    words = [f"n{i}w" for i in range(100)]
+    two = ["changed" if i in (30, 70) else w for i, w in enumerate(words)]
+    three = ["other" if i in (20, 50, 80) else w for i, w in enumerate(words)]
+    added = [*words[:50], *(f"passage{i}" for i in range(14)), *words[50:]]
+    rows = [(i, " ".join(x), "en", "src", len(" ".join(x))) for i, x in enumerate((words, two, three, added))]
+    alike = lambda x, y, n: (lambda a, b: len(a & b) / len(a | b))(*({tuple(z[i : i + n]) for i in range(len(z) - n + 1)} for z in (x, y)))
+    for x in (two, added):
+        assert 0.8 <= alike(words, x, 5) < 0.85 and alike(words, x, 4) < 0.85
+    assert alike(words, three, 5) < 0.8
+    docs = spark.createDataFrame(rows, spark.read.parquet(f"{folder}/documents.parquet").schema)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, folder)
+    assert sorted(r["doc_id"] for r in docs.collect()) == [0, 2]
