@@ -6,8 +6,9 @@ stage's documents.  All but the last return the columns of documents; ``n_chars`
 follows the text where a stage changes it.
 
 1. ``quality_rules``: rejected documents go.
-2. ``line_dedup``: later copies of runs of lines go; a document that has no line
-   left goes, unless it had none to lose.
+2. ``line_dedup``: later copies of runs of two lines or more go, and of single
+   lines of ``LONG_WORDS`` words or more; a document that has no line left goes,
+   unless it had none to lose.
 3. ``ngram_join``: of every component of similar documents (sets of five-word
    shingles with a Jaccard similarity of 0.8 at least) the one of least id stays
    (one row of a text, if rows repeat); documents without words or id stay.
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 from sedimenta.llm import byte_bpe, decontaminate, line_dedup, ngram_join, quality_rules
 from sedimenta.llm.shared import written
 
+#: Words of a line whose later copies go without a neighbour.
+LONG_WORDS = 50
 #: Words of a shingle and least similarity in per cent of near copies; op7's query has its own.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 
@@ -34,7 +37,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = line_dedup.without_repeats(docs, full=False)
+    cut = line_dedup.without_repeats(docs, full=False, long_words=LONG_WORDS)
     left = cut.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
     changed = F.col("n_removed") > 0
     columns = {"text": F.when(changed, F.col("kept")).otherwise(F.col("text"))}

@@ -16,6 +16,12 @@ if each of its windows of ``min_lines`` lines is, what goes is settled in the
 round that reaches ``min_lines``, a power of two; later rounds tell how long
 the repeats are.
 
+If ``long_words`` is given, a line of that many words or more (a word is a run
+of characters other than space and U+0009 to U+000D) is deleted alone too where
+it also occurs earlier, and so is a later copy of a text that is one such line.
+A document of several lines that this would leave without any loses what its
+runs lose only.
+
 Skew: texts that are equal as wholes are ranked once, through the least id;
 pairs are aggregated before they are shuffled for sorting, so that a line that
 a third of all documents share is one row there; ranks come from a sort's row
@@ -101,6 +107,17 @@ def _without(lines: Column, starts: Column, run: int) -> Column:
     return let(lines, lambda x: let(starts, lambda s: gaps(s, x)))
 
 
+def _is_long(line: Column, words: int) -> Column:
+    """Whether a line has that many words; short ones are not read for it."""
+    return F.when(F.length(line) >= 2 * words - 1, F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+")) >= words).otherwise(False)
+
+
+def _later(lines: DataFrame) -> DataFrame:
+    """(seq, i) of the lines that also occur earlier."""
+    first = lines.groupBy("h1", "h2").agg(F.min(F.struct("seq", "i")).alias("first"), F.count("*").alias("c")).where("c > 1")
+    return lines.join(first, ["h1", "h2"]).where(F.struct("seq", "i") > F.col("first")).select("seq", "i")
+
+
 def without_repeats(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -108,8 +125,11 @@ def without_repeats(
     min_lines: int = MIN_LINES,
     full: bool = True,
     broadcast_ids: int = BROADCAST_IDS,
+    long_words: int | None = None,
 ) -> DataFrame:
     """The rows of ``docs`` with n_lines, n_removed and kept, the lines left (null if the text is null)."""
+    if long_words is not None and (min_lines > 2 or long_words < 1):
+        raise ValueError("long_words is 1 at least and goes with min_lines of 2 at most")
     text = F.col(f"`{text_col}`").cast("string")
     d = docs.select(
         F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
@@ -118,23 +138,36 @@ def without_repeats(
         F.xxhash64(F.lit(3), text).alias("t2"),
         F.split(text, "\n", -1).alias("lines"),
     )
-    hashes = F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("h1"), F.xxhash64(F.lit(7), x).alias("h2")))
+    long = lambda x: [] if long_words is None else [_is_long(x, long_words).alias("long")]
+    hashes = F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("h1"), F.xxhash64(F.lit(7), x).alias("h2"), *long(x)))
     texts = written(
         d.where("lines IS NOT NULL").select("seq", "t1", "t2", hashes.alias("l")).groupBy("t1", "t2").agg(F.min("seq").alias("first"), F.first("l").alias("l")), "texts"
     )
     # the sequence's order is that of its least id; the text tells apart what shares an id
     seq = F.struct(F.col("first").alias("id"), "t1", "t2").alias("seq")
     lines = texts.select(seq, F.posexplode("l").alias("i", "x")).select("seq", "i", "x.h1", "x.h2")
-    repeats = repeated_suffixes(lines, min_lines, full)
-    runs = repeats.groupBy("seq").agg(F.array_sort(F.collect_set("i")).alias("starts"), F.max("lcp").alias("lcp"))
-    marks = runs.select(F.col("seq.id").alias("seq"), "seq.t1", "seq.t2", "starts", F.lit(False).alias("copy"))
-    ids = d.where(F.size("lines") >= min_lines).select("seq", "t1", "t2")
-    copies = ids.join(texts.select("t1", "t2", "first"), ["t1", "t2"]).where("seq > first").select("seq", "t1", "t2", F.lit(None).cast("array<int>").alias("starts"), F.lit(True).alias("copy"))
+    found = repeated_suffixes(lines, min_lines, full).select("seq", "i", F.lit(False).alias("single"))
+    whole_copy = F.size("lines") >= min_lines
+    if long_words is not None:
+        singles = texts.select(seq, F.posexplode("l").alias("i", "x")).where("x.long").select("seq", "i", "x.h1", "x.h2")
+        found = found.union(_later(singles).select("seq", "i", F.lit(True)))
+        whole_copy |= (F.size("lines") == 1) & _is_long(F.get("lines", F.lit(0)), long_words)
+    some = lambda x: F.when(F.size(x) > 0, F.array_sort(x))
+    runs = found.groupBy("seq").agg(*(some(F.collect_set(F.when(F.col("single") == one, F.col("i")))).alias(c) for c, one in (("starts", False), ("singles", True))))
+    marks = runs.select(F.col("seq.id").alias("seq"), "seq.t1", "seq.t2", "starts", "singles", F.lit(False).alias("copy"))
+    ids = d.where(whole_copy).select("seq", "t1", "t2")
+    none = F.lit(None).cast("array<int>")
+    copies = ids.join(texts.select("t1", "t2", "first"), ["t1", "t2"]).where("seq > first").select("seq", "t1", "t2", none.alias("starts"), none.alias("singles"), F.lit(True).alias("copy"))
     marks = written(marks.union(copies.distinct()), "marks")
 
     size = F.coalesce(F.when(F.col("lines").isNotNull(), F.size("lines")), F.lit(0)).cast("long")
     whole = lambda x: x.select("row", size.alias("n_lines"), F.lit(0).cast("long").alias("n_removed"), F.array_join("lines", "\n").alias("kept"))
-    left = F.when(F.col("copy"), F.array().cast("array<string>")).when(F.col("starts").isNotNull(), _without(F.col("lines"), F.col("starts"), min_lines)).otherwise(F.col("lines"))
+    left = F.when(F.col("copy"), F.array().cast("array<string>"))
+    if long_words is not None:
+        gone = F.flatten(F.transform("starts", lambda i: F.sequence(i, i + min_lines - 1)))
+        gone = F.array_sort(F.array_distinct(F.concat(F.coalesce(gone, F.array().cast("array<int>")), "singles")))
+        left = left.when(F.col("singles").isNotNull() & ((F.size("lines") == 1) | (F.size(gone) < F.size("lines"))), _without(F.col("lines"), gone, 1))
+    left = left.when(F.col("starts").isNotNull(), _without(F.col("lines"), F.col("starts"), min_lines)).otherwise(F.col("lines"))
     cut = lambda x: x.select("row", size.alias("n_lines"), left.alias("left")).select(
         "row", "n_lines", (F.col("n_lines") - F.coalesce(F.when(F.col("left").isNotNull(), F.size("left")), F.lit(0))).cast("long").alias("n_removed"), F.array_join("left", "\n").alias("kept")
     )

@@ -109,3 +109,15 @@ def test_near_copies_of_five_words(spark, folder):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, folder)
     assert sorted(r["doc_id"] for r in docs.collect()) == [0, 2]
+
+
+def test_long_single_lines(spark, folder):
+    """Later copies of lines of 50 words go without a neighbour; shorter ones stay."""
+    line = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    a, b, c = line("a", 50), line("b", 49), line("c", 70)
+    texts = [f"x\n{a}\ny", f"{b}\nz", f"u\n{a}\nv", a, f"{b}\nw", c, c, f"p\n{c}\nq\n{c}\nx\n{a}", f"{c}\n{a}"]
+    rows = [(i, t, "en", "src", len(t)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, spark.read.parquet(f"{folder}/documents.parquet").schema).repartition(2)
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_stage(spark, docs, folder).collect()}
+    # the last one would have no line left
+    assert got == {0: texts[0], 1: texts[1], 2: "u\nv", 4: texts[4], 5: c, 7: "p\nq", 8: texts[8]}
