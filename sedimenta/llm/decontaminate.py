@@ -7,14 +7,19 @@ joined with those of the benchmark; around every hit the windows that contain
 it are compared with the benchmark's windows by a 128-bit hash.  Items shorter
 than a window are one window of their own length, compared directly.
 
-The benchmark's windows are counted first.  Up to ``broadcast_windows`` they are
-sent to every task and documents are read once, without any shuffle; beyond it
-fingerprints and windows are joined by shuffles.  Both ways give the same rows.
+A window is one row, however many items have it, with the name of the set of
+those items; a document's hits so name windows and sets, and the items of a set
+are listed once a document.
+
+The benchmark's windows are counted first, once for each item that has them.  Up
+to ``broadcast_windows`` they are sent to every task and documents are read once,
+without any shuffle; beyond it fingerprints and windows are joined by shuffles.
+Both ways give the same rows.
 
 Words: A-Z are lower-cased, a word is a run of digits, ASCII letters and
 characters above U+007F.  Defined results: null or empty texts have no words
-and no hits; null ids are carried (a null item is named ''); rows that repeat
-are judged one by one; two items of equal text both count; empty tables give
+and no hits; a very long text is one row, compared as a whole; null ids are
+carried (a null item is named ''); rows that repeat are judged one by one; two items of equal text both count; empty tables give
 no rows, or no hits; other columns are not read.
 """
 
@@ -22,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -86,9 +92,8 @@ def _around(b: Block, hits: np.ndarray, window: int, k: int) -> np.ndarray:
     return starts[starts + window <= b.off[doc + 1]]
 
 
-def _row(doc_id, n_words: int, n_hit: int, items: set) -> tuple:
-    named = ",".join(sorted("" if x is None else str(x) for x in items))
-    return doc_id, n_words, n_hit, len(items), hashlib.sha256(named.encode()).hexdigest(), n_hit > 0
+def _digest(names: set) -> str:
+    return hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
 
 
 class Index:
@@ -97,49 +102,71 @@ class Index:
     def __init__(self, rows: pa.Table, prints: np.ndarray, window: int, k: int):
         h1, h2, size = (rows.column(c).to_numpy() for c in ("h1", "h2", "size"))
         self.window, self.k, self.prints = window, k, np.unique(prints.view(np.uint64))
-        self.items = rows.column("item").to_pylist()
+        items = ["" if x is None else x for x in rows.column("item").to_pylist()]
+        self.sets: list[frozenset] = []  # different sets of items that have a window
+        known: dict[frozenset, int] = {}
         self.by_size = {}
         for s in np.unique(size):
             own = np.flatnonzero(size == s)
             order = own[np.lexsort((h2[own].view(np.uint64), h1[own].view(np.uint64)))]
-            self.by_size[int(s)] = (h1[order].view(np.uint64), h2[order].view(np.uint64), order)
-
-    def find(self, b: Block, size: int, at: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(start, row of the index) for all windows of ``size`` words among ``at`` that the benchmark has."""
-        h1, h2, order = self.by_size[size]
-        g1 = b.grams(size, 0, at)
-        hit = np.flatnonzero(lookup(h1, g1) >= 0)
-        if not len(hit):
-            return
-        at, g1 = at[hit], g1[hit]
-        g2 = b.grams(size, 1, at)
-        lo, hi = np.searchsorted(h1, g1, "left"), np.searchsorted(h1, g1, "right")
-        for p, x, i, j in zip(at.tolist(), g2, lo.tolist(), hi.tolist()):
-            for r in range(i, j):
-                if h2[r] == x:
-                    yield p, int(order[r])
+            a, b = h1[order].view(np.uint64), h2[order].view(np.uint64)
+            new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+            of = np.empty(len(new), np.int64)
+            for i, (lo, hi) in enumerate(zip(new.tolist(), [*new[1:].tolist(), len(order)])):
+                names = frozenset(items[r] for r in order[lo:hi].tolist())
+                if names not in known:
+                    known[names] = len(self.sets)
+                    self.sets.append(names)
+                of[i] = known[names]
+            self.by_size[int(s)] = (a[new], b[new], of)
+
+    def find(self, b: Block, size: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of all windows of ``size`` words among ``at`` that the benchmark has, and the sets of items that have them."""
+        h1, h2, of = self.by_size[size]
+        place = lookup(h1, b.grams(size, 0, at))
+        at, place = at[place >= 0], place[place >= 0]
+        if not len(at):
+            return at, place
+        second, first = b.grams(size, 1, at), h1[place]
+        place = np.searchsorted(h1, first, "left")
+        good = h2[place] == second
+        while True:  # windows that differ in the second hash only stand next to one another
+            place = np.where(good, place, place + 1)
+            more = ~good & (place < len(h1))
+            more[more] = h1[place[more]] == first[more]
+            if not more.any():
+                return at[good], of[place[good]]
+            good[more] = h2[place[more]] == second[more]
 
     def judge(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        @lru_cache(10_000)
+        def named(sets: tuple[int, ...]) -> tuple[int, str]:
+            names = set().union(*(self.sets[i] for i in sets))
+            return len(names), _digest(names)
+
         for batch in batches:
             ids, out = batch.column(0).to_pylist(), []
             for b in blocks(batch.column(1), ALNUM, True):
                 n, room = np.diff(b.off), b.room()
-                found: list[tuple[int, int, int]] = []
-                if self.window in self.by_size:
-                    at, f = _prints(b, self.window, self.k)
-                    near = _around(b, at[lookup(self.prints, f) >= 0], self.window, self.k)
-                    found += [(p, self.window, r) for p, r in self.find(b, self.window, near)]
+                edge = np.zeros(len(room) + 1, np.int64)
+                pairs = []
                 for size in self.by_size:
-                    if size < self.window:
-                        found += [(p, size, r) for p, r in self.find(b, size, np.flatnonzero(room >= size))]
-                covered = np.zeros(len(room), bool)
-                items: dict[int, set] = {}
-                for p, size, r in found:
-                    covered[p : p + size] = True
-                    items.setdefault(int(np.searchsorted(b.off, p, "right")) - 1, set()).add(self.items[r])
-                total = np.concatenate([[0], np.cumsum(covered)])
+                    if size == self.window:
+                        at, f = _prints(b, self.window, self.k)
+                        near = _around(b, at[lookup(self.prints, f) >= 0], self.window, self.k)
+                    else:
+                        near = np.flatnonzero(room >= size)
+                    p, sets = self.find(b, size, near)
+                    np.add.at(edge, p, 1)
+                    np.add.at(edge, p + size, -1)
+                    pairs.append(np.stack([np.searchsorted(b.off, p, "right") - 1, sets], 1))
+                total = np.concatenate([[0], np.cumsum(np.cumsum(edge)[:-1] > 0)])
                 hit = total[b.off[1:]] - total[b.off[:-1]]
-                out += [_row(ids[b.first + i], int(n[i]), int(hit[i]), items.get(i, set())) for i in range(b.n)]
+                met: dict[int, list[int]] = {}
+                for doc, one in np.unique(np.concatenate(pairs), axis=0).tolist() if pairs else ():
+                    met.setdefault(doc, []).append(one)
+                for i in range(b.n):
+                    out.append((ids[b.first + i], int(n[i]), int(hit[i]), *named(tuple(met.get(i, ()))), bool(hit[i])))
             yield _table(out)
 
 
@@ -169,19 +196,24 @@ def contamination(
     small = wins.limit(broadcast_windows + 1).count() <= broadcast_windows
     if small:  # then there are no more fingerprints than windows either
         index = Index(wins.toArrow(), prints.toArrow().column("f").to_numpy().astype(np.int64), window, gram)
-        return d.mapInArrow(index.judge, OUT)
+        shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by broadcast_windows
+        return d.mapInArrow(lambda it: shared.value.judge(it), OUT)
     return _by_shuffles(d, wins, prints, window, gram)
 
 
 def _by_shuffles(d: DataFrame, wins: DataFrame, prints: DataFrame, window: int, k: int) -> DataFrame:
     """The same result when the benchmark is too large to send to every task.
 
-    Rows are known by a hash of id and text; rows that agree in both get the
+    Rows are known by a digest of id and text; rows that agree in both get the
     same answer.
     """
     key = F.sha2(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("n")), F.coalesce(F.col("text"), F.lit(""))), 256)
     docs = d.withColumn("row", key)
-    wins = written(wins, "bench-windows")
+    # windows are joined by name of their set of items, so that one that all items have is one row
+    grouped = wins.groupBy("h1", "h2", "size").agg(F.sort_array(F.collect_set(F.coalesce("item", F.lit("")))).alias("items"))
+    named = written(grouped.withColumn("set", F.sha2(F.to_json("items"), 256)), "bench-windows")
+    sets = named.groupBy("set").agg(F.first("items").alias("items"))
+    wins = named.select("h1", "h2", "size", "set")
     sizes = sorted(r["size"] for r in wins.select("size").distinct().collect())
     own = docs.select("row", "text").distinct()
     hits = (
@@ -208,7 +240,10 @@ def _by_shuffles(d: DataFrame, wins: DataFrame, prints: DataFrame, window: int,
 
     looked = own.join(hits, "row", "left" if any(s < window for s in sizes) else "inner").select("row", "text", "at")
     met = looked.mapInArrow(candidates, "row string, p long, size long, h1 long, h2 long").join(wins, ["h1", "h2", "size"])
-    per = met.groupBy("row").agg(F.collect_set(F.struct("p", "size")).alias("spans"), F.collect_set(F.coalesce("item", F.lit(""))).alias("items"))
+    met = written(met.select("row", "p", "size", "set"), "bench-hits")
+    spans = met.groupBy("row").agg(F.collect_set(F.struct("p", "size")).alias("spans"))
+    items = met.select("row", "set").distinct().join(sets, "set").groupBy("row").agg(F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+    per = spans.join(items, "row")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,7 +256,8 @@ def _by_shuffles(d: DataFrame, wins: DataFrame, prints: DataFrame, window: int,
                     covered = np.zeros(int(n[i]), bool)
                     for s in spans[r] or []:
                         covered[s["p"] : s["p"] + s["size"]] = True
-                    out.append(_row(ids[r], int(n[i]), int(covered.sum()), set(items[r] or [])))
+                    own = set(items[r] or [])
+                    out.append((ids[r], int(n[i]), int(covered.sum()), len(own), _digest(own), bool(covered.any())))
             yield _table(out)
 
     return docs.join(per, "row", "left").select("doc_id", "text", "spans", "items").mapInArrow(judge, OUT)
@@ -234,10 +270,11 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "d
     are judged by their own texts.
     """
     same = lambda x: F.xxhash64(F.coalesce(x, F.lit("")))
-    row = F.struct(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), same(F.col(f"`{text_col}`")))
-    own = docs.select(F.xxhash64(row).alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    found = contamination(own, benchmark, **options).where("contaminated").select(F.col("doc_id").alias("__row")).distinct()
-    return docs.withColumn("__row", F.xxhash64(row)).join(found, "__row", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    key = F.xxhash64(F.struct(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), same(F.col(f"`{text_col}`").cast("string"))))
+    own = docs.select(key.alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    found = contamination(own, benchmark, **options).where("contaminated").select(F.col("doc_id").alias("key")).distinct()
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), key.alias("key"))  # apart, so names cannot clash
+    return rows.join(found, "key", "left_anti").select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def op4_decontaminate(spark, sf_dir: str) -> DataFrame:

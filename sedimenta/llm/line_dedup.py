@@ -1,20 +1,22 @@
 """Line dedup with a suffix array over line ids, in DataFrame expressions only.
 
 Every text is a sequence of lines.  The suffixes of all sequences are ranked by
-distributed prefix doubling: ranks by the first line come from sorting the
-distinct lines; a suffix's rank by its first 2k lines is that of the pair (its
-rank by k lines, the rank of the suffix k lines on), and the distinct pairs are
-ranked by one range-partitioned sort.  A rank that one suffix alone has is
-final, so only suffixes that still share theirs go on; the doubling stops when
-none do.  Suffixes of equal rank after the round for k lines are an interval of
-the suffix array whose longest common prefix is k lines at least; its earliest
-member (least id, then position) is the copy that stays.
-
-Runs of ``min_lines`` lines or more that also occur earlier, maximal ones by
-chaining, are deleted; shorter repeats stay.  Since a run is repeated exactly
-if each of its windows of ``min_lines`` lines is, what goes is settled in the
-round that reaches ``min_lines``, a power of two; later rounds tell how long
-the repeats are.
+distributed prefix doubling.  It begins with the first ``min_lines`` lines: the
+distinct windows that occur twice or more are sorted by their lines' ids (their
+hashes) and numbered.  A suffix's rank by its first 2k lines is that of the pair
+(its rank by k lines, the rank of the suffix k lines on), and the distinct pairs
+that occur twice or more are ranked by one range-partitioned sort.  A suffix
+whose rank no other one has is final, so only suffixes that still share theirs
+go on; the doubling stops when none do.
+
+Suffixes of equal rank by k lines are an interval of the suffix array whose
+longest common prefix is k lines at least; its earliest member (least id, then
+position) is the copy that stays.  ``lcp`` of a suffix is the longest k whose
+interval has an earlier member.  The maximal repeated runs of a text are the
+unions of the lines [i, i + lcp) of its suffixes: a run of r lines has suffixes
+with an lcp of the largest power of two within r at its front and so far from
+its end, and both cover it.  These lines are deleted; repeats of fewer than
+``min_lines`` lines stay.
 
 If ``long_words`` is given, a line of that many words or more (a word is a run
 of characters other than space and U+0009 to U+000D) is deleted alone too where
@@ -23,88 +25,115 @@ A document of several lines that this would leave without any loses what its
 runs lose only.
 
 Skew: texts that are equal as wholes are ranked once, through the least id;
-pairs are aggregated before they are shuffled for sorting, so that a line that
-a third of all documents share is one row there; ranks come from a sort's row
-numbers, not from a window over all rows.  Texts themselves are shuffled only
-where lines go.
+windows and pairs are aggregated before they are shuffled, a common line alone
+is no key of any join, a suffix finds the one k lines on by a join on sequence
+and position, so that a long text is no key either, and ranks come from a sort's
+row numbers, not from a window over all rows.  Texts themselves are shuffled
+only where lines go.
 
 Defined results: a null text stays null and has no lines; an empty text is one
-empty line; empty lines count as lines; rows that share an id are told apart by
-their text, and rows that repeat wholly are treated alike, as one document; a
-null id stands behind all others; a copy of a text of ``min_lines`` lines or
-more loses all its lines; an empty table gives no rows; other columns are not
-read.
+empty line; empty lines count as lines; a very long text is one row, and its
+runs are merged in time n log n; rows that share an id are told apart by their
+text, and rows that repeat wholly are treated alike, as one document; a null id
+stands behind all others; a copy of a text of ``min_lines`` lines or more loses
+all its lines; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sedimenta.llm.quality_rules import let
+from sedimenta.llm.quality_rules import let, scan
 from sedimenta.llm.shared import drop, new_path, written
 
 MIN_LINES = 2
-NULL_ID = 2**63 - 1
 #: Ids of documents that lose lines (8 bytes each) sent to every task at most; beyond it all documents are shuffled.
 BROADCAST_IDS = 2_000_000
+#: A sequence: whether its least id is null, that id (0 for null), and the text's hash, which tells apart what shares an id.
+SEQ = ["nul", "id", "t1"]
 
 
-def _ranked(pairs: DataFrame, by: list[str]) -> DataFrame:
-    """Distinct rows with ``rank``, increasing in their order: a range-partitioned sort's row numbers."""
-    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return pairs.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("rank", F.monotonically_increasing_id())
+def _ranked(distinct: DataFrame, by: list[str]) -> DataFrame:
+    """Rows with ``fresh``, increasing in their order: a range-partitioned sort's row numbers."""
+    n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return distinct.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("fresh", F.monotonically_increasing_id())
 
 
-def repeated_suffixes(lines: DataFrame, min_lines: int = MIN_LINES, full: bool = True) -> DataFrame:
-    """(seq, i, lcp) of every suffix whose first ``min_lines`` lines also start earlier.
+def _windows(lines: Column, size: int) -> Column:
+    """Array of (i, w1, w2, ids): every window of ``size`` lines, by hashes of it and by the ids of its lines."""
+    n = F.size(lines) - (size - 1)
 
-    ``lines`` has (seq, i, h1, h2): the i-th line of a sequence by its hash.
-    ``lcp`` is the longest power of two of lines that the suffix shares with an
-    earlier one; with ``full`` unset, ``min_lines``.
+    def window(i: Column) -> Column:
+        x = F.slice(lines, i + 1, size)
+        return F.struct(i.alias("i"), F.xxhash64(x).alias("w1"), F.xxhash64(F.lit(7), x).alias("w2"), F.transform(x, lambda y: y["h1"]).alias("ids"))
+
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), window))
+
+
+def repeated_suffixes(windows: DataFrame, size: int = MIN_LINES) -> DataFrame:
+    """(nul, id, t1, i, lcp) of every suffix whose first ``size`` lines also start earlier.
+
+    ``windows`` has (nul, id, t1, i, w1, w2, ids): the windows of ``size`` lines
+    of all sequences.  ``lcp`` is the longest of size, 2 size, 4 size, ... lines
+    that the suffix shares with an earlier one.
     """
-    spark = lines.sparkSession
-    if min_lines < 1 or min_lines & (min_lines - 1):
-        raise ValueError("min_lines is a power of two")
-    seen = lines.groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1").drop("c")
-    ranked = written(_ranked(seen, ["h1", "h2"]), "line-ranks")
-    path = new_path(spark, "suffixes")  # those that share their first line with another
-    lines.join(ranked, ["h1", "h2"]).select("seq", "i", "rank").write.parquet(path)
-    k, found = 1, None
-    while True:
-        now = spark.read.parquet(path)
-        if k >= min_lines:
-            first = now.groupBy("rank").agg(F.min(F.struct("seq", "i")).alias("first"))
-            later = now.join(first, "rank").where(F.struct("seq", "i") > F.col("first")).select("seq", "i", F.lit(k).alias("lcp"))
-            found = later if found is None else found.union(later)
-            if not full or now.isEmpty():
-                return found.groupBy("seq", "i").agg(F.max("lcp").alias("lcp"))
-        # a suffix whose partner k lines on is final, or that ends before it, is final too
-        there = W.partitionBy("seq").orderBy("i").rangeBetween(k, k)
-        pairs = written(now.withColumn("next", F.max("rank").over(there)).where("next IS NOT NULL"), "pairs")
-        shared = pairs.groupBy("rank", "next").agg(F.count("*").alias("c")).where("c > 1").select(F.col("rank").alias("this"), "next")
-        fresh = written(_ranked(shared, ["this", "next"]).withColumnRenamed("rank", "fresh"), "pair-ranks")
+    spark = windows.sparkSession
+    place = F.struct(*SEQ, "i")
+
+    def numbered(rows: DataFrame, key: list[str], by: list[str], *more: Column) -> DataFrame:
+        """The keys that two suffixes or more have: ``fresh`` and the earliest place."""
+        shared = rows.groupBy(*key).agg(F.min(place).alias("first"), F.count("*").alias("c"), *more).where("c > 1").drop("c")
+        return written(_ranked(shared, by).select(*key, "first", "fresh"), "ranks")
+
+    def put(rows: DataFrame) -> DataFrame:
         path = new_path(spark, "suffixes")
-        pairs.withColumnRenamed("rank", "this").join(fresh, ["this", "next"]).select("seq", "i", F.col("fresh").alias("rank")).write.parquet(path)
-        for p in (pairs, fresh):
-            for f in p.inputFiles()[:1]:
+        rows.write.parquet(path)
+        return spark.read.parquet(path)
+
+    later = place > F.col("first")
+    ranks = numbered(windows, ["w1", "w2"], ["ids", "w2"], F.first("ids").alias("ids"))
+    now = put(windows.join(ranks, ["w1", "w2"]).select(*SEQ, "i", F.col("fresh").alias("rank"), later.alias("later"), F.lit(None).cast("int").alias("lcp")))
+    k, rounds = size, [now]
+    while True:
+        open_ = now.where("rank IS NOT NULL")
+        if open_.isEmpty():
+            break
+        there = open_.select(*SEQ, (F.col("i") - k).alias("i"), F.col("rank").alias("next"))
+        pairs = written(open_.select(*SEQ, "i", "rank", "later").join(there, [*SEQ, "i"], "left"), "pairs")
+        ranks = numbered(pairs.where("next IS NOT NULL"), ["rank", "next"], ["rank", "next"])
+        met = pairs.join(ranks, ["rank", "next"], "left")
+        again = F.coalesce(later, F.lit(False))
+        # what is later by k lines, but not by 2k, is settled
+        now = put(
+            met.select(*SEQ, "i", F.col("fresh").alias("rank"), again.alias("again"), F.when(F.col("later") & ~again, F.lit(k)).alias("lcp"))
+            .where("rank IS NOT NULL OR lcp IS NOT NULL")
+            .withColumnRenamed("again", "later")
+        )
+        rounds.append(now)
+        for used in (pairs, ranks):
+            for f in used.inputFiles()[:1]:
                 drop(spark, f.rsplit("/", 1)[0])
         k *= 2
+    found = rounds[0]
+    for r in rounds[1:]:
+        found = found.union(r)
+    return found.where("lcp IS NOT NULL").select(*SEQ, "i", "lcp")
 
 
-def _without(lines: Column, starts: Column, run: int) -> Column:
-    """The lines that no run of ``run`` lines from one of ``starts`` (sorted, from 0) covers."""
+def _without(lines: Column, runs: Column) -> Column:
+    """The lines outside the runs, an array of (from, lines) sorted by from, from 0."""
 
-    def gaps(s: Column, x: Column) -> Column:
-        def before(p: Column, j: Column) -> Column:
-            since = F.coalesce(F.get(s, j - 1) + run, F.lit(0))
-            return F.slice(x, since + 1, F.greatest(p - since, F.lit(0)))
+    def gaps(x: Column, s: Column, end: Column) -> Column:
+        def before(r: Column, j: Column) -> Column:
+            since = F.coalesce(F.get(end, j - 1), F.lit(0))
+            return F.slice(x, since + 1, F.greatest(r["i"] - since, F.lit(0)))
 
-        last = F.element_at(s, -1) + run
+        last = F.element_at(end, -1)
         return F.concat(F.flatten(F.transform(s, before)), F.slice(x, last + 1, F.greatest(F.size(x) - last, F.lit(0))))
 
-    return let(lines, lambda x: let(starts, lambda s: gaps(s, x)))
+    ends = lambda s: scan(F.transform(s, lambda r: r["i"] + r["lcp"]), F.greatest)  # noqa: E731  of all runs so far
+    return let(lines, lambda x: let(runs, lambda s: let(ends(s), lambda end: gaps(x, s, end))))
 
 
 def _is_long(line: Column, words: int) -> Column:
@@ -113,9 +142,10 @@ def _is_long(line: Column, words: int) -> Column:
 
 
 def _later(lines: DataFrame) -> DataFrame:
-    """(seq, i) of the lines that also occur earlier."""
-    first = lines.groupBy("h1", "h2").agg(F.min(F.struct("seq", "i")).alias("first"), F.count("*").alias("c")).where("c > 1")
-    return lines.join(first, ["h1", "h2"]).where(F.struct("seq", "i") > F.col("first")).select("seq", "i")
+    """(nul, id, t1, i) of the lines that also occur earlier."""
+    place = F.struct(*SEQ, "i")
+    first = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("c")).where("c > 1")
+    return lines.join(first, ["h1", "h2"]).where(place > F.col("first")).select(*SEQ, "i")
 
 
 def without_repeats(
@@ -123,17 +153,18 @@ def without_repeats(
     id_col: str = "doc_id",
     text_col: str = "text",
     min_lines: int = MIN_LINES,
-    full: bool = True,
     broadcast_ids: int = BROADCAST_IDS,
     long_words: int | None = None,
 ) -> DataFrame:
-    """The rows of ``docs`` with n_lines, n_removed and kept, the lines left (null if the text is null)."""
-    if long_words is not None and (min_lines > 2 or long_words < 1):
-        raise ValueError("long_words is 1 at least and goes with min_lines of 2 at most")
+    """(row, n_lines, n_removed, kept) of every row: the row as a struct and the lines left (null if the text is null)."""
+    if min_lines < 1 or long_words is not None and (min_lines > 2 or long_words < 1):
+        raise ValueError("min_lines is 1 at least; long_words is 1 at least and goes with min_lines of 2 at most")
     text = F.col(f"`{text_col}`").cast("string")
+    id_ = F.col(f"`{id_col}`").cast("long")
     d = docs.select(
         F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
-        F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("seq"),
+        id_.isNull().alias("nul"),
+        F.coalesce(id_, F.lit(0)).cast("long").alias("id"),
         F.xxhash64(text).alias("t1"),
         F.xxhash64(F.lit(3), text).alias("t2"),
         F.split(text, "\n", -1).alias("lines"),
@@ -141,48 +172,49 @@ def without_repeats(
     long = lambda x: [] if long_words is None else [_is_long(x, long_words).alias("long")]
     hashes = F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("h1"), F.xxhash64(F.lit(7), x).alias("h2"), *long(x)))
     texts = written(
-        d.where("lines IS NOT NULL").select("seq", "t1", "t2", hashes.alias("l")).groupBy("t1", "t2").agg(F.min("seq").alias("first"), F.first("l").alias("l")), "texts"
+        d.where("lines IS NOT NULL").select("nul", "id", "t1", "t2", hashes.alias("l")).groupBy("t1", "t2").agg(F.min(F.struct("nul", "id")).alias("first"), F.first("l").alias("l")), "texts"
     )
     # the sequence's order is that of its least id; the text tells apart what shares an id
-    seq = F.struct(F.col("first").alias("id"), "t1", "t2").alias("seq")
-    lines = texts.select(seq, F.posexplode("l").alias("i", "x")).select("seq", "i", "x.h1", "x.h2")
-    found = repeated_suffixes(lines, min_lines, full).select("seq", "i", F.lit(False).alias("single"))
+    seqs = texts.select("first.nul", "first.id", "t1", "l")
+    bare = F.transform("l", lambda x: F.struct(x["h1"].alias("h1"), x["h2"].alias("h2")))
+    windows = seqs.select(*SEQ, F.explode(_windows(bare, min_lines)).alias("x")).select(*SEQ, "x.*")
+    found = repeated_suffixes(windows, min_lines).select(*SEQ, "i", "lcp", F.lit(False).alias("single"))
     whole_copy = F.size("lines") >= min_lines
     if long_words is not None:
-        singles = texts.select(seq, F.posexplode("l").alias("i", "x")).where("x.long").select("seq", "i", "x.h1", "x.h2")
-        found = found.union(_later(singles).select("seq", "i", F.lit(True)))
+        singles = seqs.select(*SEQ, F.posexplode("l").alias("i", "x")).where("x.long").select(*SEQ, "i", "x.h1", "x.h2")
+        found = found.union(_later(singles).select(*SEQ, "i", F.lit(1), F.lit(True)))
         whole_copy |= (F.size("lines") == 1) & _is_long(F.get("lines", F.lit(0)), long_words)
+    run = F.struct("i", "lcp")
     some = lambda x: F.when(F.size(x) > 0, F.array_sort(x))
-    runs = found.groupBy("seq").agg(*(some(F.collect_set(F.when(F.col("single") == one, F.col("i")))).alias(c) for c, one in (("starts", False), ("singles", True))))
-    marks = runs.select(F.col("seq.id").alias("seq"), "seq.t1", "seq.t2", "starts", "singles", F.lit(False).alias("copy"))
-    ids = d.where(whole_copy).select("seq", "t1", "t2")
-    none = F.lit(None).cast("array<int>")
-    copies = ids.join(texts.select("t1", "t2", "first"), ["t1", "t2"]).where("seq > first").select("seq", "t1", "t2", none.alias("starts"), none.alias("singles"), F.lit(True).alias("copy"))
+    marks = found.groupBy(*SEQ).agg(some(F.collect_list(F.when(~F.col("single"), run))).alias("runs"), some(F.collect_list(run)).alias("all"), F.max("single").alias("singles"))
+    marks = marks.withColumn("copy", F.lit(False))
+    kinds = {f.name: f.dataType for f in marks.schema}
+    none = lambda c: F.lit(None).cast(kinds[c]).alias(c)
+    copies = d.where(whole_copy).select("nul", "id", "t1", "t2").join(texts.select("t1", "t2", "first"), ["t1", "t2"])
+    copies = copies.where(F.struct("nul", "id") > F.col("first")).select(*SEQ, none("runs"), none("all"), none("singles"), F.lit(True).alias("copy"))
     marks = written(marks.union(copies.distinct()), "marks")
 
     size = F.coalesce(F.when(F.col("lines").isNotNull(), F.size("lines")), F.lit(0)).cast("long")
     whole = lambda x: x.select("row", size.alias("n_lines"), F.lit(0).cast("long").alias("n_removed"), F.array_join("lines", "\n").alias("kept"))
+    by_runs = F.when(F.col("runs").isNotNull(), _without(F.col("lines"), F.col("runs"))).otherwise(F.col("lines"))
     left = F.when(F.col("copy"), F.array().cast("array<string>"))
     if long_words is not None:
-        gone = F.flatten(F.transform("starts", lambda i: F.sequence(i, i + min_lines - 1)))
-        gone = F.array_sort(F.array_distinct(F.concat(F.coalesce(gone, F.array().cast("array<int>")), "singles")))
-        left = left.when(F.col("singles").isNotNull() & ((F.size("lines") == 1) | (F.size(gone) < F.size("lines"))), _without(F.col("lines"), gone, 1))
-    left = left.when(F.col("starts").isNotNull(), _without(F.col("lines"), F.col("starts"), min_lines)).otherwise(F.col("lines"))
+        by_all = _without(F.col("lines"), F.col("all"))
+        left = left.when(F.col("singles"), let(by_all, lambda x: F.when((F.size("lines") == 1) | (F.size(x) > 0), x).otherwise(by_runs)))
+    left = left.otherwise(by_runs)
     cut = lambda x: x.select("row", size.alias("n_lines"), left.alias("left")).select(
         "row", "n_lines", (F.col("n_lines") - F.coalesce(F.when(F.col("left").isNotNull(), F.size("left")), F.lit(0))).cast("long").alias("n_removed"), F.array_join("left", "\n").alias("kept")
     )
-    named = marks.select("seq").distinct()
+    named = marks.select("nul", "id").distinct()
     if named.count() > broadcast_ids:
-        out = cut(d.join(marks, ["seq", "t1", "t2"], "left"))
-    else:
-        out = whole(d.join(F.broadcast(named), "seq", "left_anti")).union(cut(d.join(F.broadcast(named), "seq", "left_semi").join(marks, ["seq", "t1", "t2"], "left")))
-    return out.select("row.*", "n_lines", "n_removed", "kept")
+        return cut(d.join(marks, SEQ, "left"))
+    return whole(d.join(F.broadcast(named), ["nul", "id"], "left_anti")).union(cut(d.join(F.broadcast(named), ["nul", "id"], "left_semi").join(marks, SEQ, "left")))
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
     """doc_id, n_lines, n_removed and kept_sha256 (lowercase hex of the lines left, joined by line feeds) of every row."""
     own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    return without_repeats(own, min_lines=min_lines).select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    return without_repeats(own, min_lines=min_lines).select("row.doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op3_line_dedup(spark, sf_dir: str) -> DataFrame:

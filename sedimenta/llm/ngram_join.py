@@ -20,18 +20,19 @@ at least ``percent`` / 100.
    rows have, row by row against the rows of fitting size; overlaps below the
    size-derived bound are discarded.  Blocks of many rows are cut and the cuts
    are multiplied pairwise in separate tasks.
-4. Links are joined to components, and classes mapped back to documents.
+4. Links are joined to components of classes, whose least id is then mapped back
+   to documents.
 
 All arithmetic on similarity is in integers.  Words: A-Z are lower-cased, a
 word is a run of characters other than space and U+0009 to U+000D; a text of
 fewer than ``n`` words has one n-gram, all of it.
 
 Defined results: null, empty and wordless texts have no n-grams, link with
-nothing and are their own component; rows that share an id are judged by their
-own texts, but are one node of the components where each is the first of its
-class; a null id stands behind all others
-and its component is null unless it links with a document that has an id; an
-empty table gives no rows; other columns are not read.
+nothing and are their own component; a very long text is one row of the matrix;
+rows that share an id are judged by their own texts, and only links make them
+one component; a null id stands behind all others and its component is null
+unless it links with a document that has an id; an empty table gives no rows;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -48,7 +49,6 @@ from sedimenta.llm.shared import written
 from sedimenta.llm.wordhash import SPACED, U64, Block, blocks, mix
 
 N, PERCENT = 4, 85
-NULL_ID = 2**63 - 1
 #: Bytes of part names that one task gathers, and of rows that one product takes a side.
 RANGE_BYTES, CUT_BYTES, CUT_ROWS = 12 << 20, 8 << 20, 1024
 #: Part names (16 bytes each) that a task holds before it sends them on.
@@ -122,12 +122,13 @@ def _per_document(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> It
                 [
                     batch.column(0).slice(b.first, b.n),
                     batch.column(2).slice(b.first, b.n),
+                    batch.column(3).slice(b.first, b.n),
                     pa.array(sizes),
                     pa.array(d[:, 0].copy().view(np.int64)),
                     pa.array(d[:, 1].copy().view(np.int64)),
                     pa.array([sum(levels(int(s), percent)) for s in sizes], pa.int64()),
                 ],
-                ["doc_id", "text_hash", "n", "d1", "d2", "names"],
+                ["doc_id", "text_hash", "rk", "n", "d1", "d2", "names"],
             )
 
 
@@ -204,17 +205,19 @@ def _met(table: pa.Table) -> pa.Table:
 
 
 def _rows(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """Sets of the texts whose digest is the one asked for; columns: doc_id, text, d1, d2, ..."""
+    """Sets of the texts whose digest is the one asked for, each once a task; columns: text, d1, d2, ..."""
+    met: set = set()
     for batch in batches:
-        want = np.stack([batch.column(i).to_numpy(zero_copy_only=False).view(U64) for i in (2, 3)], 1)
-        for b in blocks(batch.column(1), SPACED, True):
+        want = np.stack([batch.column(i).to_numpy(zero_copy_only=False).view(U64) for i in (1, 2)], 1)
+        for b in blocks(batch.column(0), SPACED, True):
             keep, sets = [], []
             for i, g in enumerate(_sets(b, n)):
-                if len(g) and (_digest(g) == want[b.first + i]).all():
+                if len(g) and int(want[b.first + i, 0]) not in met and (_digest(g) == want[b.first + i]).all():
+                    met.add(int(want[b.first + i, 0]))
                     keep.append(b.first + i)
                     sets.append(g.tobytes())
             own = batch.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([own.column(0), own.column(2), *own.columns[4:], pa.array(sets, pa.binary())], ["doc_id", "d1", *own.schema.names[4:], "grams"])
+            yield pa.RecordBatch.from_arrays([own.column(1), *own.columns[3:], pa.array(sets, pa.binary())], ["d1", *own.schema.names[3:], "grams"])
 
 
 def product(sets: list[np.ndarray], weight: np.ndarray, side: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -255,13 +258,13 @@ def product(sets: list[np.ndarray], weight: np.ndarray, side: np.ndarray, percen
 
 
 def _multiply(table: pa.Table, percent: int) -> pa.Table:
-    """Edges to the least id of each component and numbers of links, for every block among the rows."""
-    ids, block, weight, side = (table.column(c).to_numpy() for c in ("doc_id", "block", "copies", "side"))
-    grams, text = table.column("grams"), table.column("d1").to_numpy()
+    """Edges to the least class of each component and numbers of links, for every block among the rows."""
+    ids, block, weight, side = (table.column(c).to_numpy() for c in ("d1", "block", "copies", "side"))
+    grams = table.column("grams")
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     order = np.argsort(block, kind="stable")
     for own in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
-        _, once = np.unique(np.stack([ids[own], text[own]]), axis=1, return_index=True)  # rows may repeat
+        _, once = np.unique(ids[own], return_index=True)  # rows may repeat
         own = own[once]
         if len(own) < 2:
             continue
@@ -280,15 +283,12 @@ def jaccard_components(
     """doc_id, n_shingles, component_id, n_links of every row, and if asked for text_hash, the text's xxhash64."""
     if not 1 <= percent <= 100:
         raise ValueError("percent is 1 to 100")
-    d = docs.select(
-        F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")
-    )
-    per = written(
-        d.withColumn("text_hash", F.xxhash64("text")).mapInArrow(lambda it: _per_document(it, n, percent), "doc_id long, text_hash long, n long, d1 long, d2 long, names long"),
-        "sets",
-    )
+    d = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    d = d.select("doc_id", "text", F.xxhash64("text").alias("text_hash"), F.xxhash64("doc_id", "text").alias("rk"))
+    per = written(d.mapInArrow(lambda it: _per_document(it, n, percent), "doc_id long, text_hash long, rk long, n long, d1 long, d2 long, names long"), "sets")
+    # the least id, and one row that has the set
     classes = written(
-        per.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.first("n").alias("n")), "classes"
+        per.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.min("rk").alias("rk"), F.count("*").alias("copies"), F.first("n").alias("n")), "classes"
     )
 
     names = per.agg(F.sum("names").alias("s")).first()["s"] or 0
@@ -309,19 +309,19 @@ def jaccard_components(
     sizes = written(sizes, "blocks")
     total = sizes.where("cuts = 1").agg(F.sum("grams").alias("s")).first()["s"] or 0
     bins = max(1, -(-8 * total // CUT_BYTES))
-    rows = written(rows.join(sizes.drop("grams"), "block").select(F.col("first").alias("doc_id"), "d1", "d2", "block", "copies", "cuts"), "rows")
+    rows = written(rows.join(sizes.drop("grams"), "block").select("rk", "d1", "d2", "block", "copies", "cuts"), "rows")
     want = F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
     sets = (
-        d.join(want, "doc_id")
-        .select("doc_id", "text", "d1", "d2", "block", "copies", "cuts")
-        .mapInArrow(lambda it: _rows(it, n), "doc_id long, d1 long, block long, copies long, cuts int, grams binary")
+        d.select("rk", "text")
+        .join(want, "rk")
+        .select("text", "d1", "d2", "block", "copies", "cuts")
+        .mapInArrow(lambda it: _rows(it, n), "d1 long, block long, copies long, cuts int, grams binary")
     )
     # each cut meets every other once, and itself; rows are sent to as many tasks as there are cuts
-    mine = F.pmod(F.xxhash64("doc_id"), F.col("cuts")).cast("int")
+    mine = F.pmod(F.xxhash64("d1"), F.col("cuts")).cast("int")
     other = F.explode(F.when(F.col("cuts") > 1, F.sequence(F.lit(0), F.col("cuts") - 1)).otherwise(F.array(F.lit(0))))
     dealt = sets.withColumn("mine", mine).withColumn("other", other)
     dealt = dealt.select(
-        "doc_id",
         "d1",
         "block",
         "copies",
@@ -331,20 +331,22 @@ def jaccard_components(
     )
     links = written(dealt.groupBy("task").applyInArrow(lambda t: _multiply(t, percent), "a long, b long, links long"), "links")
 
-    joined = components(links.select("a", "b"))
-    counts = links.groupBy(F.col("a").alias("first")).agg(F.sum("links").alias("links"))
+    joined = components(links.select("a", "b")).select(F.col("node").alias("d1"), "component")
+    counts = links.groupBy(F.col("a").alias("d1")).agg(F.sum("links").alias("links"))
+    least = classes.join(joined, "d1").groupBy("component").agg(F.min("first").alias("least"))
     named = (
-        classes.join(joined.select(F.col("node").alias("first"), "component"), "first", "left")
-        .join(counts, "first", "left")
-        .select("d1", "d2", F.coalesce("component", "first").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+        classes.join(joined, "d1", "left")
+        .withColumn("component", F.coalesce("component", "d1"))  # no null is a key
+        .join(least, "component", "left")
+        .join(counts, "d1", "left")
+        .select("d1", "d2", F.coalesce("least", "first").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     )
-    own = F.coalesce("component_id", "doc_id")
     return (
         per.join(named, ["d1", "d2"], "left")
         .select(
-            F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")).alias("doc_id"),
+            "doc_id",
             F.col("n").alias("n_shingles"),
-            F.when(F.col("n") == 0, F.when(F.col("doc_id") != NULL_ID, F.col("doc_id"))).otherwise(F.when(own != NULL_ID, own)).alias("component_id"),
+            F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"),
             F.when(F.col("n") == 0, 0).otherwise(F.col("n_links")).cast("long").alias("n_links"),
             *(["text_hash"] if with_hash else []),
         )

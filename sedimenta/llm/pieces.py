@@ -3,7 +3,8 @@
 With the byte-level pattern, and with every tokenizer that drops white space, a
 single space between two other characters that are not white space begins a new
 pre-token.  So a text may be cut before each such space, pieces encoded one by
-one and the results put together; most pieces recur.
+one and the results put together; most pieces recur.  What a piece gives is
+looked up by a hash of its bytes and taken only if the bytes agree too.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 
-from sedimenta.llm.wordhash import U64, byte_ranges, lookup, raw_blocks
+from sedimenta.llm.wordhash import INLINE, U64, byte_hashes, eights, lookup, raw_blocks, same_bytes
 
 #: Pieces that a worker remembers at most (about 35 MB).
 REMEMBERED = 1_000_000
@@ -72,12 +73,28 @@ def _wide(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((a == 0xE1) & (b == 0x9A)) | ((a == 0xE2) & ((b == 0x80) | (b == 0x81))) | ((a == 0xE3) & (b == 0x80))
 
 
+class _Growing:
+    """An array that is added to; eight zeros at least follow what it holds."""
+
+    def __init__(self, kind: str):
+        self.data, self.n = np.zeros(1 << 12, kind), 0
+
+    def add(self, x: np.ndarray) -> None:
+        if self.n + len(x) + 8 > len(self.data):
+            more = np.zeros(max(self.n + len(x) + 8, len(self.data) * 3 // 2), self.data.dtype)
+            more[: self.n] = self.data[: self.n]
+            self.data = more
+        self.data[self.n : self.n + len(x)] = x
+        self.n += len(x)
+
+
 class PieceIds:
-    """Ids of whole texts by pieces that are told by a 64-bit hash.
+    """Ids of whole texts by pieces.
 
-    ``make`` gives the ids of pieces that are not remembered.  Texts that hold
-    one of ``special`` are one piece.  With ``end`` set, that id follows every
-    text.
+    ``make`` gives the ids of pieces that are not remembered, which are up to
+    ``most`` of at most INLINE bytes; a piece is told by its bytes, which are
+    found by their hash and compared.  Texts that hold one of ``special`` are
+    one piece.  With ``end`` set, that id follows every text.
     """
 
     def __init__(self, make: Callable[[list[bytes]], list[np.ndarray]], kind: str, special: list[bytes] = (), end: int | None = None, most: int = REMEMBERED):
@@ -85,45 +102,62 @@ class PieceIds:
         self._forget()
 
     def _forget(self) -> None:
-        """Two tables of pieces, a large one and one of the last, each sorted by key: keys, starts in the pool, ids."""
-        none = lambda: [np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
+        """Pieces are numbered; two tables, a large one and one of the last, have sorted keys and the pieces' numbers."""
+        none = lambda: [np.zeros(0, U64), np.zeros(0, np.int32)]
         self.large, self.last = none(), none()
-        self.pool, self.filled = np.full(1, self.end or 0, self.kind), 1
+        self.pool, self.raw = _Growing(self.kind), _Growing("u1")
+        self.start, self.count, self.at, self.size = _Growing("<i8"), _Growing("<i4"), _Growing("<i8"), _Growing("<i4")
+        self.pool.add(np.array([self.end or 0], self.kind))
+
+    def _made(self, raw: list[bytes]) -> None:
+        """Put down what new pieces give, as the next numbers."""
+        ids = self.make(raw)
+        count = np.array([len(x) for x in ids], np.int64)
+        self.start.add(self.pool.n + np.cumsum(count) - count)
+        self.count.add(count)
+        self.pool.add(np.concatenate(ids))
 
     def _learn(self, keys: np.ndarray, raw: list[bytes]) -> None:
-        made = self.make(raw)
-        count = np.array([len(x) for x in made], np.int32)
-        end = self.filled + int(count.sum())
-        start = end - int(count.sum()) + np.cumsum(count) - count
-        if end > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros(max(end - len(self.pool), len(self.pool) // 4, 1 << 16), self.kind)])
-        self.pool[self.filled : end] = np.concatenate(made)
-        self.filled = end
-        self._put(keys, start, count)
-
-    def _put(self, keys: np.ndarray, start: np.ndarray, count: np.ndarray) -> None:
-        joined = [np.concatenate(x) for x in zip(self.last, (keys, start, count))]
+        """New pieces, with the keys of their bytes; long ones are not found again."""
+        first = self.count.n
+        self._made(raw)
+        size = np.array([len(x) for x in raw], np.int64)
+        short = size <= INLINE
+        self.at.add(self.raw.n + np.cumsum(size * short) - size * short)
+        self.size.add(np.where(short, size, -1))
+        self.raw.add(np.frombuffer(b"".join([x for x in raw if len(x) <= INLINE]), np.uint8))
+        self._put(keys[short], (first + np.flatnonzero(short)).astype(np.int32))
+
+    def _put(self, keys: np.ndarray, number: np.ndarray) -> None:
+        joined = [np.concatenate(x) for x in zip(self.last, (keys, number))]
         if len(joined[0]) > max(20_000, len(self.large[0]) // 4):
             joined = [np.concatenate(x) for x in zip(self.large, joined)]
-            order = np.argsort(joined[0])
+            order = np.argsort(joined[0], kind="stable")
             self.large, self.last = [x[order] for x in joined], [x[:0] for x in joined]
         else:
-            order = np.argsort(joined[0])
+            order = np.argsort(joined[0], kind="stable")
             self.last = [x[order] for x in joined]
 
-    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and number of ids of each piece; the number is -1 for those not remembered."""
-        start, count = np.zeros(len(keys), np.int64), np.full(len(keys), -1, np.int64)
+    def _find(self, keys: np.ndarray, view: np.ndarray, lo: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Number of each piece, -1 for those not remembered."""
+        number = np.full(len(keys), -1, np.int64)
         for table in (self.large, self.last):
-            open_ = np.flatnonzero(count < 0)
+            open_ = np.flatnonzero(number < 0)
             at = lookup(table[0], keys[open_])
             hit = at >= 0
-            start[open_[hit]], count[open_[hit]] = table[1][at[hit]], table[2][at[hit]]
-        return start, count
-
-    def _placed(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start and number of ids of every piece, and the number of the piece that begins each text or follows the last."""
-        if len(self.large[0]) + len(self.last[0]) > self.most:
+            number[open_[hit]] = table[1][at[hit]]
+        found = np.flatnonzero(number >= 0)
+        its = number[found]
+        pool = np.ndarray(len(self.raw.data) - 7, "<u8", self.raw.data, strides=(1,))
+        good = self.size.data[its] == size[found]
+        like = np.flatnonzero(good)
+        good[like] = same_bytes(view, lo[found[like]], pool, self.at.data[its[like]], size[found[like]])
+        number[found[~good]] = -1
+        return number
+
+    def _placed(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Start and number of ids of every piece, the number of the piece that begins each text or follows the last, and where pieces begin."""
+        if self.count.n > self.most or self.pool.n > 16 * self.most:
             self._forget()
         whole = data.tobytes()
         cuts = safe_cuts(data)
@@ -133,39 +167,44 @@ class PieceIds:
         begins = np.zeros(len(data) + 1, bool)
         begins[cuts] = begins[ends[:-1]] = True
         lo = np.flatnonzero(begins[:-1])
-        hi = np.append(lo[1:], len(data))
-        keys = byte_ranges(data, lo, hi)
-        start, count = self._find(keys)
-        if (count < 0).any():
-            at = np.flatnonzero(count < 0)
-            at = at[np.argsort(keys[at], kind="stable")]
-            at = at[np.concatenate([[True], keys[at[1:]] != keys[at[:-1]]])]
-            self._learn(keys[at], [whole[i:j] for i, j in zip(lo[at].tolist(), hi[at].tolist())])
-            start, count = self._find(keys)
-        return start, count, np.searchsorted(lo, ends)
+        hi = np.append(lo[1:], len(data)) if len(lo) else lo
+        view = eights(data)
+        keys = byte_hashes(data, view, lo, hi)
+        number = self._find(keys, view, lo, hi - lo)
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            raw: dict = {}
+            which = np.array([raw.setdefault(whole[i:j], len(raw)) for i, j in zip(lo[new].tolist(), hi[new].tolist())])
+            _, one = np.unique(which, return_index=True)
+            first = self.count.n
+            self._learn(keys[new[one]], list(raw))
+            number[new] = first + which
+        return self.start.data[number], self.count.data[number].astype(np.int64), np.searchsorted(lo, ends), lo
 
     def encode(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(ids of all texts, number of ids of each text) of blocks of a string column."""
         for data, ends in raw_blocks(column):
-            start, count, at = self._placed(data, ends)
+            start, count, at, _ = self._placed(data, ends)
             if self.end is not None:  # one more piece after each text: the end id, with which the pool begins
                 start, count = np.insert(start, at[1:], 0), np.insert(count, at[1:], 1)
                 at = at + np.arange(len(at))
             total = np.concatenate([[0], np.cumsum(count)])
-            yield self.pool[np.repeat(start - total[:-1], count) + np.arange(total[-1])], np.diff(total[at])
+            yield self.pool.data[np.repeat(start - total[:-1], count) + np.arange(total[-1])], np.diff(total[at])
 
 
 class PieceCounts(PieceIds):
     """Only the numbers of ids: ``make`` gives a number for each piece."""
 
     def __init__(self, make: Callable[[list[bytes]], list[int]], most: int = REMEMBERED):
-        super().__init__(make, "<u2", most=most)
+        super().__init__(make, "u1", most=most)
 
-    def _learn(self, keys: np.ndarray, raw: list[bytes]) -> None:
-        self._put(keys, np.zeros(len(keys), np.int64), np.array(self.make(raw), np.int32))
+    def _made(self, raw: list[bytes]) -> None:
+        self.start.add(np.zeros(len(raw), np.int64))
+        self.count.add(np.array(self.make(raw), np.int64))
 
-    def counts(self, column: pa.Array) -> Iterator[np.ndarray]:
-        """Number of ids of each text, by blocks of a string column."""
+    def tables(self, column: pa.Array) -> Iterator[tuple[np.ndarray, ...]]:
+        """Of blocks of a string column: the bytes; the ids in front of each piece and of the end, and the byte at which
+        each begins; the first piece of each text and of the end, and the byte at which each text begins and the last ends."""
         for data, ends in raw_blocks(column):
-            _, count, at = self._placed(data, ends)
-            yield np.diff(np.concatenate([[0], np.cumsum(count)])[at])
+            _, count, at, lo = self._placed(data, ends)
+            yield data, np.concatenate([[0], np.cumsum(count)]), np.append(lo, len(data)), at, ends

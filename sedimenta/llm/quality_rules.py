@@ -44,6 +44,17 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def scan(values: Column, step) -> Column:
+    """``step`` over all elements up to each one, by doubling: for an associative step that is commutative, like a sum or maximum."""
+
+    def reach(acc: Column, j: Column) -> Column:
+        back = lambda i: i - F.pow(F.lit(2.0), j).cast("int")
+        return F.transform(acc, lambda x, i: F.when(back(i) >= 0, step(x, F.get(acc, back(i)))).otherwise(x))
+
+    rounds = F.sequence(F.lit(0), F.greatest(F.ceil(F.log2(F.greatest(F.size(values), F.lit(1)).cast("double"))).cast("int") - 1, F.lit(0)))
+    return F.aggregate(rounds, values, reach)
+
+
 def _clean(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 

@@ -11,18 +11,28 @@ step with the end mark gives the exact count of the prefix as a text of its
 own.  Over a text, counts before each pre-token are summed up, so any prefix,
 truncation or budget is answered from the table without encoding again.
 
-Texts with characters that normalisation may join or reorder, and pieces with
-special strings, are counted by the library itself.
-
-Defined results: a null text is empty and has no tokens; ids are carried, null
-or repeated; rows that repeat are counted one by one; an empty table gives no
-rows; other columns are not read.
+Normalisation (composed forms, lower case) is the library's for pieces with
+characters beyond U+024F, piece by piece; their pre-tokens go through the same
+table.  A prefix that ends between characters which normalisation may join is
+counted by extending the table in front of them by what that end becomes.  Only
+pieces with special strings are split at them by the library.
+
+``count_tokens`` builds the table of each text (ids in front of each piece, and
+within a piece where needed) and derives total and truncation from it;
+``prefix_tables`` stores it, and ``cut_at`` answers any budget from it without a
+text or tokenizer.
+
+Defined results: a null text is empty and has no tokens; a very long text, with
+or without spaces, takes time in proportion to its length; ids are carried, null
+or repeated; equal rows, or ties, are counted one by one and get equal rows; an
+empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
-import bisect
 import json
+import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate
@@ -33,7 +43,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedimenta.llm.pieces import PieceCounts, Remembered, pieces
+from sedimenta.llm.pieces import PieceCounts, Remembered
 
 VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
@@ -54,6 +64,19 @@ def _byte_symbols() -> list[str]:
     return out
 
 
+@lru_cache(1)
+def _joining() -> frozenset:
+    """Characters that composition may join to what is in front of them: marks, and the second ones of composed pairs."""
+    out = {chr(c) for c in [*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)]}
+    for c in map(chr, range(0x110000)):
+        if unicodedata.combining(c):
+            out.add(c)
+        pair = unicodedata.decomposition(c).split(" ")
+        if len(pair) == 2 and not pair[0].startswith("<"):
+            out.add(chr(int(pair[1], 16)))
+    return frozenset(out)
+
+
 class Counter:
     """Exact token counts under a vocabulary file of ranked merges with an end mark."""
 
@@ -70,6 +93,9 @@ class Counter:
         self.longest = max(map(len, self.vocab)) if self.vocab else 0
         bodies = {t[: -len(self.end)] if self.end and t.endswith(self.end) else t for t in self.vocab}
         self.starts = {t[:i] for t in bodies for i in range(1, len(t) + 1)}  # whatever some token begins with
+        closed = [t[: -len(self.end)] for t in self.vocab if self.end and t.endswith(self.end)] if self.end else list(self.vocab)
+        self.tails = {t[i:] for t in closed for i in range(len(t))}  # whatever some closed token ends with
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.symbols = _byte_symbols()
         self.find = regex.compile(PATTERN)
         self.word = Remembered(self._word, 600_000)
@@ -109,15 +135,14 @@ class Counter:
 
     # one pre-token
 
-    def _open(self, symbols: str, most: int) -> tuple[list[str], list[int]]:
-        """Last token and number of tokens of each prefix of up to ``most`` symbols, without the end mark.
+    def _fill(self, symbols: str, last: list[str], count: list[int], begin: int) -> None:
+        """Last token and number of tokens of each prefix, without the end mark, from those of up to ``begin`` symbols and fewer.
 
-        Filled from the front: what is known of a prefix is extended by every
-        token that begins there and may follow, until no token goes on so.
+        What is known of a prefix is extended by every token that begins there
+        and may follow, until no token goes on so.
         """
-        vocab, starts, follows, whole = self.vocab, self.starts, self.follows, self.whole
-        last, count = [""] * (most + 1), [0] * (most + 1)
-        for j in range(most):
+        vocab, starts, follows, whole, most = self.vocab, self.starts, self.follows, self.whole, len(last) - 1
+        for j in range(begin, most):
             front, n = last[j], count[j] + 1
             if j and not front:
                 raise ValueError(f"no token ends at {j} of {symbols!r}")
@@ -127,12 +152,19 @@ class Counter:
                     break
                 if token in vocab and (follows[f"{front} {token}"] if j else whole[token]) == 1:
                     last[i], count[i] = token, n
+
+    def _open(self, symbols: str, most: int) -> tuple[list[str], list[int]]:
+        last, count = [""] * (most + 1), [0] * (most + 1)
+        self._fill(symbols, last, count, 0)
         return last, count
 
     def _closed(self, symbols: str, i: int, last: list[str], count: list[int]) -> int:
         """Number of tokens of the first i symbols with the end mark set."""
-        for j in range(max(0, i - self.longest), i):
-            token = symbols[j:i] + self.end
+        for j in range(i - 1, -1, -1):
+            body = symbols[j:i]
+            if body not in self.tails:
+                break
+            token = body + self.end
             if token in self.vocab and (self.follows[f"{last[j]} {token}"] if j else self.whole[token]) == 1:
                 return count[j] + 1
         raise ValueError(f"no token ends at {i} of {symbols!r}")
@@ -156,62 +188,132 @@ class Counter:
     # pieces between spaces
 
     def plain(self, piece: str) -> bool:
-        """Whether lower-casing alone is what normalisation does, and no special string can be inside."""
-        return "<|" not in piece and (piece.isascii() or self._composed(piece))
-
-    @staticmethod
-    def _composed(piece: str) -> bool:
-        return all(c < "ɐ" and c != "İ" for c in piece)
+        """Whether lower-casing alone is what normalisation does."""
+        return piece.isascii() or all(c < "ɐ" and c != "İ" for c in piece)
+
+    def _normal(self, piece: str) -> str:
+        return piece.lower() if self.plain(piece) else self.library.normalizer.normalize_str(piece)
+
+    def _cut(self, piece: str) -> list[str]:
+        """A piece's texts and special strings, in turn: every second one is special."""
+        out, rest = [], piece
+        while True:
+            at = min(((rest.find(x), x) for x in self.special if x in rest), default=None)
+            if at is None:
+                return [*out, rest]
+            out += [rest[: at[0]], at[1]]
+            rest = rest[at[0] + len(at[1]) :]
 
     def _count(self, piece: str) -> int:
-        if not self.plain(piece):
-            return len(self.library.encode(piece, add_special_tokens=False).ids)
-        return sum([self.word[self._symbols(t)] for t in self.find.findall(piece.lower())])
+        if "<|" in piece and any(x in piece for x in self.special):
+            return sum(self._count(x) if i % 2 == 0 else 1 for i, x in enumerate(self._cut(piece)))
+        if self.plain(piece):
+            return sum([self.word[self._symbols(t)] for t in self.find.findall(piece.lower())])
+        return sum([self.word[t] for t, _ in self.library.pre_tokenizer.pre_tokenize_str(self._normal(piece))])
 
     def count(self, text: str | None) -> int:
-        return sum(map(self.piece.__getitem__, pieces(text or "")))
+        return int(sum(n[-1] for _, n, *_ in self.by_piece.tables(pa.array([text or ""]))))
 
     def prefix_counts(self, text: str | None) -> list[int]:
         """Token count of each prefix of the text: of 0, 1, ... all characters."""
-        out, before = [0], 0
-        for k, piece in enumerate(pieces(text or "")):
-            if k:
-                out.append(before)  # the space that ends the piece before adds none
-            out += [before + n for n in self._within(piece)]
-            before += self.piece[piece]
+        out = [0]
+        for data, total, lo, _, _ in self.by_piece.tables(pa.array([text or ""])):
+            for k, (i, j) in enumerate(zip(lo.tolist(), lo[1:].tolist())):
+                piece = data[i:j].tobytes().decode()
+                if k:
+                    out.append(int(total[k]))  # the space that begins the piece adds none
+                out += [int(total[k]) + n for n in self._within(piece[1:] if k else piece)]
         return out
 
     def _within(self, piece: str) -> list[int]:
         """Counts of the prefixes of 1, 2, ... characters of a piece."""
-        if not self.plain(piece):
-            return [len(self.library.encode(piece[:i], add_special_tokens=False).ids) for i in range(1, len(piece) + 1)]
-        low, out, done, at = piece.lower(), [], 0, 0
+        if "<|" in piece and any(x in piece for x in self.special):
+            out, done, front = [], 0, ""
+            for k, part in enumerate(self._cut(piece)):
+                if k % 2 == 0:
+                    front = part
+                    out += [done + n for n in self._within(part)]
+                else:  # an unfinished special string is text, after the text in front of it
+                    out += [done + n for n in self._within(front + part[:-1])[len(front) :]]
+                    done += self._count(front) + 1
+                    out.append(done)
+            return out
+        return self._spelled(piece) if self.plain(piece) else self._composed(piece)
+
+    def _spelled(self, low: str) -> list[int]:
+        """Counts of the prefixes of 1, 2, ... characters of what normalisation gives."""
+        out, done, at, low = [], 0, 0, low.lower() if self.plain(low) else low
         for m in self.find.finditer(low):
             out += [done] * (m.start() - at)
             token = m[0]
             cut = [self.find.findall(token[:i]) for i in range(1, len(token) + 1)] if token[0] == "'" and len(token) > 1 else None
             if cut:  # a contraction's prefix may be other pre-tokens
                 out += [done + sum(self.word[self._symbols(t)] for t in c) for c in cut]
+                done = out[-1]
             else:
                 closed = self.table(self._symbols(token))[1]
                 ends = list(accumulate(len(c.encode()) for c in token))
                 out += [done + closed[e] for e in ends]
-            done += self.word[self._symbols(token)]
+                done += closed[-1]
             at = m.end()
         return out + [done] * (len(low) - at)
 
-    def fitting(self, text: str | None, budget: int) -> int:
-        """Characters of the longest prefix of at most ``budget`` tokens."""
-        parts = pieces(text or "")
-        total = list(accumulate(map(self.piece.__getitem__, parts)))
-        k = bisect.bisect_right(total, budget)
-        before = sum(map(len, parts[:k])) + k
-        if k == len(parts):
-            return before - 1
-        inside = self._within(parts[k])
-        have = total[k - 1] if k else 0
-        fits = [i for i, n in enumerate(inside, 1) if have + n <= budget]
-        return max(before + (fits[-1] if fits else 0), 0)
+    def _composed(self, piece: str) -> list[int]:
+        """Counts of the prefixes of a piece that normalisation changes: by clusters of characters that it may join."""
+        joining, clusters = _joining(), []
+        for c in piece:
+            if c in joining and clusters:
+                clusters[-1] += c
+            else:
+                clusters.append(c)
+        whole = [self._normal(c) for c in clusters]
+        text = "".join(whole)
+        counts, tables = [0, *self._spelled(text)], {}
+        starts = [m.start() for m in self.find.finditer(text)]
+        out, at = [], 0
+        for cluster, normal in zip(clusters, whole):
+            for i in range(1, len(cluster)):
+                part = self._normal(cluster[:i])
+                if normal.startswith(part):
+                    out.append(counts[at + len(part)])
+                else:
+                    out.append(self._ending(text, at, part, starts, counts, tables))
+            at += len(normal)
+            out.append(counts[at])
+        return out
+
+    def _ending(self, text: str, at: int, part: str, starts: list[int], counts: list[int], tables: dict) -> int:
+        """Tokens of text[:at] + part: the pre-token that ``part`` goes on is extended, whatever its length."""
+        k = bisect_left(starts, at) - 1
+        begin = starts[k] if k >= 0 else 0
+        contracted = k > 0 and at - begin <= 2 and text[begin - 1] == "'"  # it may become one with what is in front
+        if contracted:
+            begin = starts[k - 1]
+        if not (k >= 0 and text[begin:at].isalpha() and part.isalpha()):
+            return counts[begin] + sum(self.word[self._symbols(t)] for t in self.find.findall(text[begin:at] + part))
+        if begin not in tables:
+            tables.clear()
+            end = starts[k + 1] if k + 1 < len(starts) else len(text)
+            symbols = self._symbols(text[begin:end])
+            tables[begin] = symbols, *self._open(symbols, len(symbols))
+        symbols, last, count = tables[begin]
+        n, more = len(text[begin:at].encode()), self._symbols(part)
+        symbols, last, count = symbols[:n] + more, last[: n + 1] + [""] * len(more), count[: n + 1] + [0] * len(more)
+        self._fill(symbols, last, count, max(0, n - self.longest))
+        return counts[begin] + self._closed(symbols, len(symbols), last, count)
+
+    def fitting(self, table: tuple, text: int, budget: int) -> int:
+        """Characters of the longest prefix of at most ``budget`` tokens of a text of a block, from the block's table."""
+        data, total, lo, at, ends = table
+        a, b = int(at[text]), int(at[text + 1])
+        chars = lambda i, j: int(((data[i:j] & 0xC0) != 0x80).sum())
+        k = a + int(np.searchsorted(total[a + 1 : b + 1] - total[a], budget, "right"))  # the piece that does not fit
+        if k == b:
+            return chars(ends[text], ends[text + 1])
+        piece = data[lo[k] : lo[k + 1]].tobytes().decode()
+        inside = self._within(piece[1:]) if k > a else self._within(piece)
+        fits = [i for i, n in enumerate(inside, 1) if total[k] - total[a] + n <= budget]
+        return chars(ends[text], lo[k]) + (fits[-1] if fits else 0) + (k > a)
 
 
 @lru_cache(4)
@@ -227,11 +329,15 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "
         c = counter(path)
         for batch in batches:
             text = pc.fill_null(batch.column(1), "")
-            n = np.concatenate([np.zeros(0, np.int64), *c.by_piece.counts(text)])
-            over = n > limit
             fits = pc.utf8_length(text).to_numpy(zero_copy_only=False).astype(np.int64)
-            for i in np.flatnonzero(over).tolist():
-                fits[i] = c.fitting(text[i].as_py(), limit)
+            counts, first = [np.zeros(0, np.int64)], 0
+            for table in c.by_piece.tables(text):
+                counts.append(np.diff(table[1][table[3]]))
+                for i in np.flatnonzero(counts[-1] > limit).tolist():
+                    fits[first + i] = c.fitting(table, i, limit)
+                first += len(counts[-1])
+            n = np.concatenate(counts)
+            over = n > limit
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pc.binary_length(text).cast(pa.int64()), pa.array(n), pa.array(over), pa.array(fits)],
                 ["doc_id", "n_bytes", "n_tokens", "over_limit", "fits_chars"],
@@ -241,6 +347,32 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "
     return own.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fits_chars long")
 
 
+def prefix_tables(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, chars and tokens of every row: the characters and tokens of each prefix that ends where a piece does (and of the empty one)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = counter(path)
+        for batch in batches:
+            first = 0
+            for data, total, lo, at, ends in c.by_piece.tables(pc.fill_null(batch.column(1), "")):
+                place = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+                n = len(at) - 1
+                chars = [np.append(0, place[lo[i + 1 : j + 1]] - place[e]) for i, j, e in zip(at, at[1:], ends)]
+                tokens = [total[i : j + 1] - total[i] for i, j in zip(at, at[1:])]
+                kind = pa.list_(pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pa.array(chars, kind), pa.array(tokens, kind)], ["doc_id", "chars", "tokens"])
+                first += n
+
+    own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return own.mapInArrow(run, "doc_id long, chars array<long>, tokens array<long>")
+
+
+def cut_at(tables: DataFrame, budget: int) -> DataFrame:
+    """doc_id, n_tokens and fits_chars of every row of ``prefix_tables``: the longest stored prefix of at most ``budget`` tokens."""
+    fits = F.filter(F.arrays_zip("chars", "tokens"), lambda x: x["tokens"] <= budget)
+    return tables.select("doc_id", F.element_at("tokens", -1).alias("n_tokens"), F.element_at(fits, -1)["chars"].alias("fits_chars"))
+
+
 def op8_token_counts(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

@@ -4,26 +4,32 @@
 them and writes one shard a range:
 
     payload  the ids of all documents, each ``width`` bytes, little-endian
-    table    per document: key (8 bytes, signed), ids (8 bytes, unsigned)
-    trailer  8 bytes "SEDTOK01", then little-endian unsigned: width (4 bytes),
-             documents (8), ids (8)
-
-A null id has the key 2**63 - 1.  The index is cut into buckets by a hash of the
-key.  A bucket's minimal perfect hash is a cascade of bit arrays: a key whose
-hash is alone at a level has its bit set there and others go on to the next
-level; the number of set bits in front of it is its slot, and slots hold a
-32-bit fingerprint, shard, offset, ids and rows of the key.  ``Reader.get`` so
-reads one bucket and one piece of payload, whatever the number of documents,
-and tells absent keys apart but for one in 2**32.
+    table    per document: key (8 bytes, signed; 0 for a null id), ids (8 bytes, unsigned)
+    trailer  8 bytes "SEDTOK02", then little-endian unsigned: width (4 bytes),
+             documents (8), ids (8), documents of null id, which are the last (8)
+
+The index is cut into buckets by a hash of the key.  A bucket's minimal perfect
+hash is a cascade of bit arrays: a key whose hash is alone at a level has its
+bit set there and others go on to the next level; the number of set bits in
+front of it is its slot, and slots hold a 32-bit fingerprint, shard, offset, ids,
+row and rows of the key.  ``Reader.get`` so reads one bucket and one piece of
+payload, whatever the number of documents, and tells absent keys apart but for
+one in 2**32.  ``read`` takes every document's shard, offset and length from the
+index too: the shards' keys are dealt to the buckets, found there by slot and
+fingerprint (a key that is not is an error), and payloads are read at the
+offsets found.  Null ids have no key; the manifest says where they begin.
 
 Shards and buckets are written under other names first and then moved, and a
-retried task writes the same bytes, so lost executors leave no half files.
-Files are reached through Arrow's file systems by the URI of the shared folder.
-
-Defined results: a null or empty text has no ids but the end id; null ids come
-last; rows that share an id are in the order of their texts and the index names
-the first and their number; an empty table has no shards and no rows; other
-columns are not read.
+retried task writes the same bytes; what a lost task left under such a name is
+deleted when its job has ended.  Workers reach files through Arrow's file
+systems; Hadoop resolves the path on the driver first, so that a path without a
+scheme, or of a view, is the same store for all.
+
+Defined results: a null or empty text has no ids but the end id; a very long
+text is encoded in blocks but is one document; null ids come last; rows that
+share an id are in the order of a hash of their texts, may fill several shards,
+and the index names the first and their number; an empty table has no shards
+and no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -46,19 +52,34 @@ from sedimenta.llm.shared import new_path
 from sedimenta.llm.wordhash import U64, mix
 
 VOCABULARY = "byte_bpe_50k.json"
-MAGIC = b"SEDTOK01"
-HEAD = struct.Struct("<8sIQQ")
+MAGIC = b"SEDTOK02"
+HEAD = struct.Struct("<8sIQQQ")
 END_ID = 0
-NULL_KEY = 2**63 - 1
+#: Bytes of text that a shard has about, where there are more than the session's shuffle partitions hold.
+SHARD_BYTES = 256 << 20
+#: Bytes of payload that a reader fetches at a time.
+WINDOW_BYTES = 4 << 20
 #: Keys that an index bucket has about.
 BUCKET_KEYS = 100_000
-SLOT = np.dtype([("print", "<u4"), ("shard", "<u4"), ("at", "<u8"), ("ids", "<u8"), ("rows", "<u4")])
+SLOT = np.dtype([("print", "<u4"), ("shard", "<u4"), ("at", "<u8"), ("ids", "<u8"), ("row", "<u8"), ("rows", "<u8")])
 
 
 def _fs(uri: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri)
+    scheme, _, rest = uri.partition("://")
+    if not rest:
+        raise ValueError(f"a path of a store has a scheme: {uri}")
+    return fs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + "://" + rest)
+
+
+def resolved(spark: SparkSession, uri: str) -> str:
+    """The folder as Hadoop resolves it, with its scheme; it is made if it is not there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(path)
+    found = store.resolvePath(path).toString()
+    return "file://" + found[5:] if found.startswith("file:/") and not found.startswith("file://") else found
 
 
 def put(uri: str, chunks: Iterator[bytes]) -> int:
@@ -204,21 +225,26 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 # writing
 
+NULLS = -1  # the bucket of entries that have no key
+ENTRY = "bucket int, key long, shard long, at long, ids long, row long, rows long, documents long, total long"
+
 
 def _write_shard(batches: Iterator[pa.RecordBatch], uri: str, vocabulary: str, buckets: int) -> Iterator[pa.RecordBatch]:
     """Write one task's documents, which come in order; yields the index entries and the shard's totals."""
     from pyspark import TaskContext
 
     e, shard = encoder(vocabulary), TaskContext.get().partitionId()
-    keys, counts = [], []
+    keys, counts, nulls = [], [], 0
 
     def payload() -> Iterator[bytes]:
+        nonlocal nulls
         for batch in batches:
             ids = batch.column(0)
             for out, n in e.encode(batch.column(1)):
                 counts.append(n)
                 yield out.tobytes()
-            keys.append(np.array(ids.fill_null(NULL_KEY).to_numpy(zero_copy_only=False), np.int64))
+            nulls += ids.null_count
+            keys.append(np.array(ids.fill_null(0).to_numpy(zero_copy_only=False), np.int64))
 
     store, path = _fs(f"{uri}/shard-{shard:06d}.tok")
     store.create_dir(path.rsplit("/", 1)[0], recursive=True)
@@ -229,127 +255,191 @@ def _write_shard(batches: Iterator[pa.RecordBatch], uri: str, vocabulary: str, b
         key = np.concatenate(keys) if keys else np.zeros(0, np.int64)
         n = np.concatenate(counts).astype(np.int64) if counts else np.zeros(0, np.int64)
         f.write(np.stack([key.view(U64), n.view(U64)], 1).astype("<u8").tobytes())
-        f.write(HEAD.pack(MAGIC, e.width, len(key), int(n.sum())))
+        f.write(HEAD.pack(MAGIC, e.width, len(key), int(n.sum()), nulls))
     if not len(key):
         store.delete_file(part)
         return
     store.move(part, path)
     at = np.concatenate([[0], np.cumsum(n)])[:-1]
+    named = len(key) - nulls
     new = np.concatenate([[True], key[1:] != key[:-1]])
+    new[named:] = False
+    if nulls:
+        new[named] = True
     first = np.flatnonzero(new)
-    rows = np.diff(first, append=len(key))
-    bucket = bucket_of(key[first].view(U64), buckets)
-    yield pa.RecordBatch.from_arrays(
-        [
-            pa.array(bucket),
-            pa.array(key[first]),
-            pa.array(np.full(len(first), shard, np.int64)),
-            pa.array(at[first]),
-            pa.array(n[first]),
-            pa.array(rows.astype(np.int64)),
-            pa.array(np.full(len(first), len(key), np.int64)),
-            pa.array(np.full(len(first), int(n.sum()), np.int64)),
-        ],
-        ["bucket", "key", "shard", "at", "ids", "rows", "documents", "total"],
-    )
+    bucket = np.where(first < named, bucket_of(key[first].view(U64), buckets), NULLS)
+    columns = [bucket, key[first], np.full(len(first), shard), at[first], n[first], first, np.diff(first, append=len(key)), np.full(len(first), len(key)), np.full(len(first), int(n.sum()))]
+    names = [c.split(" ")[0] for c in ENTRY.split(", ")]
+    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if m == "bucket" else pa.int64()) for m, c in zip(names, columns)], names)
 
 
 def write(docs: DataFrame, uri: str, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> dict:
     """Write shards, index and manifest under ``uri``; returns the manifest.
 
-    ``shards`` defaults to the number of shuffle partitions.
+    ``shards`` defaults to the number of shuffle partitions, or more where
+    they would hold over SHARD_BYTES of text.
     """
     spark = docs.sparkSession
+    uri = resolved(spark, uri)
     d = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    total = d.agg(F.count("*").alias("n")).first()["n"]
-    buckets = max(1, -(-total // BUCKET_KEYS))
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = d.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    buckets = max(1, -(-total["n"] // BUCKET_KEYS))
+    shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(total["bytes"] or 0) // SHARD_BYTES))
     entries_at = new_path(spark, "entries")
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text").asc()]
     (
-        d.repartitionByRange(shards, F.col("doc_id").asc_nulls_last())
-        .sortWithinPartitions(F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_first())
-        .mapInArrow(
-            lambda it: _write_shard(it, uri, vocabulary, buckets),
-            "bucket int, key long, shard long, at long, ids long, rows long, documents long, total long",
-        )
+        d.repartitionByRange(shards, *order)
+        .sortWithinPartitions(*order)
+        .mapInArrow(lambda it: _write_shard(it, uri, vocabulary, buckets), ENTRY)
         .write.parquet(entries_at)
     )
     entries = spark.read.parquet(entries_at)
 
     def index(t: pa.Table) -> pa.Table:
-        slots = np.zeros(len(t), SLOT)
-        for name in ("shard", "at", "ids", "rows"):
-            slots[name] = t.column(name).to_numpy()
+        t = t.sort_by([("key", "ascending"), ("shard", "ascending")])
+        key = t.column("key").to_numpy()
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))  # a key's rows may go on in the next shards
+        slots = np.zeros(len(first), SLOT)
+        for name in ("shard", "at", "ids", "row"):
+            slots[name] = t.column(name).to_numpy()[first]
+        slots["rows"] = np.add.reduceat(t.column("rows").to_numpy(), first)
         b = t.column("bucket")[0].as_py()
-        n = put(f"{uri}/index-{b:06d}.mph", iter([build_bucket(t.column("key").to_numpy().view(U64), slots)]))
+        n = put(f"{uri}/index-{b:06d}.mph", iter([build_bucket(key[first].view(U64), slots)]))
         return pa.table({"bucket": pa.array([b], pa.int32()), "bytes": pa.array([n], pa.int64())})
 
-    entries.groupBy("bucket").applyInArrow(index, "bucket int, bytes long").agg(F.sum("bytes")).collect()
+    entries.where(F.col("bucket") != NULLS).groupBy("bucket").applyInArrow(index, "bucket int, bytes long").agg(F.sum("bytes")).collect()
+    # one row a shard
     per_shard = entries.groupBy("shard").agg(F.first("documents").alias("documents"), F.first("total").alias("ids")).orderBy("shard").collect()
+    nulls = entries.where(F.col("bucket") == NULLS).select("shard", "at", "row", "rows").orderBy("shard").collect()
     starts = np.concatenate([[0], np.cumsum([r["ids"] for r in per_shard])]).astype(int).tolist()
-    manifest = {"buckets": buckets, "shards": [{"shard": r["shard"], "documents": r["documents"], "ids": r["ids"], "start": s} for r, s in zip(per_shard, starts)]}
+    manifest = {
+        "buckets": buckets,
+        "shards": [{"shard": r["shard"], "documents": r["documents"], "ids": r["ids"], "start": s} for r, s in zip(per_shard, starts)],
+        "nulls": [r.asDict() for r in nulls],
+    }
     put(f"{uri}/manifest.json", iter([json.dumps(manifest).encode()]))
+    store, path = _fs(uri)
+    from pyarrow import fs
+
+    for f in store.get_file_info(fs.FileSelector(path)):
+        if f.path.endswith(".part"):
+            store.delete_file(f.path)
     return manifest
 
 
 # reading
 
 
-def _tail(raw: bytes) -> tuple[int, int, int]:
-    magic, width, documents, ids = HEAD.unpack(raw[-HEAD.size :])
-    if magic != MAGIC:
-        raise ValueError("not a token shard")
-    return width, documents, ids
-
-
-def read_shard(uri: str, shard: int, start: int) -> Iterator[tuple[int | None, int, np.ndarray]]:
-    """(doc_id, start, ids) of a shard's documents, in order; the payload is read in pieces."""
-    store, path = _fs(f"{uri}/shard-{shard:06d}.tok")
-    with store.open_input_file(path) as f:
-        size = f.size()
-        f.seek(size - HEAD.size)
-        width, documents, ids = _tail(f.read(HEAD.size))
-        f.seek(width * ids)
-        table = np.frombuffer(f.read(16 * documents), "<u8").reshape(-1, 2)
-        keys, counts = table[:, 0].copy().view(np.int64), table[:, 1].astype(np.int64)
-        f.seek(0)
-        for a in range(0, documents, 1024):
-            n = counts[a : a + 1024]
-            part = np.frombuffer(f.read(int(n.sum()) * width), f"<u{width}")
-            at = 0
-            for k, c in zip(keys[a : a + 1024].tolist(), n.tolist()):
-                yield (None if k == NULL_KEY else k), start, part[at : at + c]
-                at += c
-                start += c
+class Shard:
+    """One shard's file: its trailer, table and payload."""
+
+    def __init__(self, uri: str, shard: int):
+        store, path = _fs(f"{uri}/shard-{shard:06d}.tok")
+        self.file = store.open_input_file(path)
+        self.file.seek(self.file.size() - HEAD.size)
+        magic, self.width, self.documents, self.total, self.nulls = HEAD.unpack(self.file.read(HEAD.size))
+        if magic != MAGIC:
+            raise ValueError("not a token shard")
+        self.held, self.begin = b"", 0
+
+    def table(self, row: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+        """Keys and numbers of ids of some documents."""
+        self.file.seek(self.width * self.total + 16 * row)
+        t = np.frombuffer(self.file.read(16 * rows), "<u8").reshape(-1, 2)
+        return t[:, 0].copy().view(np.int64), t[:, 1].astype(np.int64)
+
+    def payload(self, at: int, n: int) -> np.ndarray:
+        """``n`` ids from the ``at``-th on; reads ahead, since they are mostly asked for in order."""
+        a, size = at * self.width, n * self.width
+        if a < self.begin or a + size > self.begin + len(self.held):
+            self.file.seek(a)
+            self.held, self.begin = self.file.read(min(max(size, WINDOW_BYTES), self.width * self.total - a)), a
+        return np.frombuffer(self.held, f"<u{self.width}", n, a - self.begin)
+
+    def close(self) -> None:
+        self.file.close()
+
+
+def _keys(batches: Iterator[pa.RecordBatch], uri: str, buckets: int) -> Iterator[pa.RecordBatch]:
+    """bucket, key, shard and rows of every key of the shards named."""
+    for batch in batches:
+        for shard in batch.column(0).to_pylist():
+            f = Shard(uri, shard)
+            key = f.table(0, f.documents - f.nulls)[0]
+            f.close()
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(bucket_of(key[first].view(U64), buckets)), pa.array(key[first]), pa.array(np.full(len(first), shard, np.int64)), pa.array(np.diff(first, append=len(key)))],
+                ["bucket", "key", "shard", "rows"],
+            )
+
+
+def _look_up(t: pa.Table, uri: str) -> pa.Table:
+    """Where the index says that the keys of one bucket stand; ``ids`` is -1 for rows that the table tells the length of."""
+    h, slots = open_bucket(fetch(f"{uri}/index-{t.column('bucket')[0].as_py():06d}.mph"))
+    key, shard = t.column("key").to_numpy(), t.column("shard").to_numpy()
+    at = h.slots(key.view(U64))
+    if (at < 0).any() or (slots["print"][at] != fingerprint(key.view(U64))).any():
+        raise ValueError("a shard has a key that the index does not have")
+    s = slots[at]
+    here = s["shard"] == shard  # in the key's other shards its rows begin the shard
+    rows = t.column("rows").to_numpy()
+    return pa.table(
+        {
+            "key": key,
+            "shard": shard,
+            "at": np.where(here, s["at"], 0).astype(np.int64),
+            "ids": np.where(here & (s["rows"] == 1), s["ids"].astype(np.int64), -1),
+            "row": np.where(here, s["row"], 0).astype(np.int64),
+            "rows": rows,
+        }
+    )
 
 
 def read(spark: SparkSession, uri: str, digest_only: bool = False) -> DataFrame:
     """doc_id, start, n_tokens and ids (or, with ``digest_only``, ids_crc32 of the ids as 4-byte numbers) of every document."""
+    uri = resolved(spark, uri)
     manifest = json.loads(fetch(f"{uri}/manifest.json"))
-    rows = [(s["shard"], s["start"]) for s in manifest["shards"]]
+    starts = {s["shard"]: s["start"] for s in manifest["shards"]}
+    buckets, shards = manifest["buckets"], max(1, len(starts))
     last = "ids_crc32 long" if digest_only else "ids array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.int64() if digest_only else pa.list_(pa.int32())
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64() if digest_only else pa.list_(pa.int32()))
 
         def batch(out: list) -> pa.RecordBatch:
-            kinds = (pa.int64(), pa.int64(), pa.int64(), kind)
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["doc_id", "start", "n_tokens", last.split(" ")[0]])
 
+        f, now, out, held = None, None, [], 0
         for b in batches:
-            for shard, start in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                out, held = [], 0
-                for doc_id, at, ids in read_shard(uri, shard, start):
-                    out.append((doc_id, at, len(ids), zlib.crc32(ids.astype("<u4").tobytes()) if digest_only else ids.astype(np.int32)))
-                    held += len(ids)
+            for key, shard, at, ids, row, rows in zip(*(c.to_pylist() for c in b.columns)):
+                if shard != now:
+                    if f:
+                        f.close()
+                    f, now = Shard(uri, shard), shard
+                for n in [ids] if ids >= 0 else f.table(row, rows)[1].tolist():
+                    x = f.payload(at, n)
+                    out.append((key, starts[shard] + at, n, zlib.crc32(x.astype("<u4").tobytes()) if digest_only else x.astype(np.int32)))
+                    at += n
+                    held += n
                     if held > 1 << 20:
                         yield batch(out)
                         out, held = [], 0
-                if out:
-                    yield batch(out)
-
-    listed = spark.createDataFrame(rows or [(0, 0)], "shard long, start long").where(F.lit(bool(rows))).repartition(max(1, len(rows)), "shard")
-    return listed.mapInArrow(run, f"doc_id long, start long, n_tokens long, {last}")
+        if out:
+            yield batch(out)
+        if f:
+            f.close()
+
+    listed = spark.createDataFrame([(s,) for s in starts] or [(0,)], "shard long").where(F.lit(bool(starts))).repartition(shards, "shard")
+    found = (
+        listed.mapInArrow(lambda it: _keys(it, uri, buckets), "bucket int, key long, shard long, rows long")
+        .groupBy("bucket")
+        .applyInArrow(lambda t: _look_up(t, uri), "key long, shard long, at long, ids long, row long, rows long")
+    )
+    if manifest["nulls"]:  # one row a shard at most
+        nulls = [(None, r["shard"], r["at"], -1, r["row"], r["rows"]) for r in manifest["nulls"]]
+        found = found.union(spark.createDataFrame(nulls, found.schema))
+    return found.repartition(shards, "shard").sortWithinPartitions("shard", "at", "row").mapInArrow(run, f"doc_id long, start long, n_tokens long, {last}")
 
 
 class Reader:
@@ -358,26 +448,32 @@ class Reader:
     def __init__(self, uri: str):
         self.uri, self.manifest = uri, json.loads(fetch(f"{uri}/manifest.json"))
         self.bucket = lru_cache(64)(lambda b: open_bucket(fetch(f"{uri}/index-{b:06d}.mph")))
-        self.width = lru_cache(None)(self._width)
-
-    def _width(self, shard: int) -> int:
-        store, path = _fs(f"{self.uri}/shard-{shard:06d}.tok")
-        with store.open_input_file(path) as f:
-            f.seek(f.size() - HEAD.size)
-            return _tail(f.read(HEAD.size))[0]
 
     def get(self, key: int | None) -> np.ndarray | None:
         """Ids of the (first) document of that key, None if there is none."""
-        if not self.manifest["shards"]:
-            return None
-        k = np.array([NULL_KEY if key is None else key], np.int64).view(U64)
-        h, slots = self.bucket(int(bucket_of(k, self.manifest["buckets"])[0]))
-        at = int(h.slots(k)[0])
-        if at < 0 or slots[at]["print"] != fingerprint(k)[0]:
-            return None
-        s = slots[at]
-        w = self.width(int(s["shard"]))
-        return np.frombuffer(fetch(f"{self.uri}/shard-{s['shard']:06d}.tok", int(s["at"]) * w, int(s["ids"]) * w), f"<u{w}")
+        if key is None:
+            if not self.manifest["nulls"]:
+                return None
+            first = self.manifest["nulls"][0]
+            f = Shard(self.uri, first["shard"])
+            at, n = first["at"], int(f.table(first["row"], 1)[1][0])
+        else:
+            if not any(s["documents"] for s in self.manifest["shards"]):
+                return None
+            k = np.array([key], np.int64).view(U64)
+            b = int(bucket_of(k, self.manifest["buckets"])[0])
+            try:
+                h, slots = self.bucket(b)
+            except FileNotFoundError:  # no key fell there
+                return None
+            slot = int(h.slots(k)[0])
+            if slot < 0 or slots[slot]["print"] != fingerprint(k)[0]:
+                return None
+            s = slots[slot]
+            f, at, n = Shard(self.uri, int(s["shard"])), int(s["at"]), int(s["ids"])
+        out = f.payload(at, n)
+        f.close()
+        return out
 
 
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,16 +2,22 @@
 
 Texts are read as the UTF-8 bytes of an Arrow column, a few megabytes at a
 time, so memory does not depend on how long a batch is (one very long text is
-one block of its own).  A word's hash is a polynomial over per-byte random
-values modulo 2**64, mixed; an n-gram's is a polynomial over its words' hashes,
-mixed.  Lanes 0 and 1 are independent, so both together are a 128-bit hash.
-All constants are fixed, so every executor and every retry gets the same hashes.
+one block of its own).
+
+A word's hash chains a non-linear 64-bit mixer over its bytes, eight at a time;
+a word of over ``INLINE`` bytes is hashed by BLAKE2.  An n-gram's hash is a
+balanced tree over its words' hashes, each node mixed again, so no sum or
+polynomial of the words is left that structured texts could make equal.  Lanes
+0 and 1 start from different seeds and are used together where 64 bits would
+not do.  The mixer has no key: it is made against accidents, not against an
+adversary.  All constants are fixed, so every executor and every retry gets the
+same hashes.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,40 +46,59 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(None)
-def _lane(lane: int) -> tuple[np.ndarray, int, int]:
-    r = np.random.Generator(np.random.PCG64(77 + lane))
-    table = r.integers(0, 2**64, 256, dtype=np.uint64)
-    by, bg = (int(x) for x in r.integers(0, 2**60, 2, dtype=np.uint64))
-    return table, by * 8 + 3, bg * 8 + 5
+#: A range of up to so many bytes is mixed eight bytes at a time, a longer one goes to BLAKE2.
+INLINE = 64
+SEEDS = (U64(0xA0761D6478BD642F), U64(0xE7037ED1A0B428DB))
+_FACTORS = (U64(0xD6E8FEB86659FD93), U64(0xC2B2AE3D27D4EB4F))
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
 
 
-_POWERS: dict = {}
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place of ``data``, and from its end, as numbers; zeros follow the last byte."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
 
 
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i up to n."""
-    have = _POWERS.get(base)
-    if have is None or len(have[0]) <= n:
-        size = max(n + 1, BLOCK_BYTES // 4)
-        out = []
-        for b in (base, pow(base, -1, 2**64)):
-            p = np.empty(size, U64)
-            p[0] = 1
-            p[1:] = U64(b)
-            out.append(np.multiply.accumulate(p))
-        have = out[0], out[1]
-        if size <= 4 * BLOCK_BYTES:
-            _POWERS[base] = have
-    return have
+def byte_hashes(data: np.ndarray, view: np.ndarray, lo: np.ndarray, hi: np.ndarray, lane: int = 0) -> np.ndarray:
+    """Hash of data[lo:hi] for each pair; ``view`` is ``eights(data)``."""
+    size = hi - lo
+    out = mix(size.astype(U64) + SEEDS[lane])
+    out = mix(out ^ (view[lo] & _MASK[np.minimum(size, 8)]))
+    at, done = np.flatnonzero((size > 8) & (size <= INLINE)), 8
+    while len(at):
+        left = size[at] - done
+        out[at] = mix(out[at] ^ (view[lo[at] + done] & _MASK[np.minimum(left, 8)]))
+        at = at[left > 8]
+        done += 8
+    for i in np.flatnonzero(size > INLINE).tolist():
+        digest = hashlib.blake2b(data[lo[i] : hi[i]].tobytes(), digest_size=16).digest()
+        out[i] = np.frombuffer(digest, "<u8")[lane]
+    return out
 
 
-def _ranges(values: np.ndarray, base: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """Hash of values[lo:hi] for each pair, free of where it stands."""
-    up, down = _powers(base, len(values))
-    total = np.zeros(len(values) + 1, U64)
-    np.cumsum(values * up[: len(values)], out=total[1:])
-    return mix((total[hi] - total[lo]) * down[lo] + (hi - lo).astype(U64))
+def same_bytes(one: np.ndarray, a: np.ndarray, other: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether ``size`` bytes from a in one array are those from b in the other, for each triple; both arrays as ``eights``."""
+    out = np.ones(len(size), bool)
+    at, done = np.flatnonzero(size > 0), 0
+    while len(at):
+        left = size[at] - done
+        equal = (one[a[at] + done] ^ other[b[at] + done]) & _MASK[np.minimum(left, 8)] == 0
+        out[at[~equal]] = False
+        at = at[equal & (left > 8)]
+        done += 8
+    return out
+
+
+def join(a: np.ndarray, b: np.ndarray, lane: int) -> np.ndarray:
+    """Hash of two runs side by side from their hashes."""
+    return mix(a * _FACTORS[lane] + ((b << U64(23)) | (b >> U64(41))))
+
+
+def _doubled(x: np.ndarray, lane: int) -> np.ndarray:
+    """Tree over the columns, a power of two of them."""
+    while x.shape[1] > 1:
+        x = join(x[:, 0::2], x[:, 1::2], lane)
+    return x[:, 0]
 
 
 class Block:
@@ -98,21 +123,48 @@ class Block:
         else:
             self.lo = self.hi = np.zeros(0, np.int64)
         self.off = np.searchsorted(self.lo, ends)
-        self._words: dict = {}
+        self._own = FOLD[data] if fold else data
+        self._view = eights(self._own)
+        self._runs: dict = {}  # (lane, b): hashes of the 2**b words from each position
 
     def words(self, lane: int = 0) -> np.ndarray:
-        if lane not in self._words:
-            table, base, _ = _lane(lane)
-            codes = table[FOLD][self.data] if self.fold else table[self.data]
-            self._words[lane] = _ranges(codes, base, self.lo, self.hi)
-        return self._words[lane]
+        return self._run(lane, 0)
+
+    def _run(self, lane: int, b: int) -> np.ndarray:
+        if (lane, b) not in self._runs:
+            if b:
+                half = self._run(lane, b - 1)
+                width = 1 << (b - 1)
+                new = join(half[:-width], half[width:], lane) if len(half) > width else half[:0]
+            else:
+                new = byte_hashes(self._own, self._view, self.lo, self.hi, lane)
+            self._runs[lane, b] = new
+        return self._runs[lane, b]
+
+    def _some(self, lane: int, i: np.ndarray) -> np.ndarray:
+        if (lane, 0) in self._runs:
+            return self._runs[lane, 0][i]
+        own, back = np.unique(i, return_inverse=True)
+        return byte_hashes(self._own, self._view, self.lo[own], self.hi[own], lane)[back].reshape(i.shape)
 
     def grams(self, k: int, lane: int = 0, at: np.ndarray | None = None) -> np.ndarray:
         """Hashes of the k words from each position (or those in ``at``); positions too near the block's end are left out."""
-        w = self.words(lane)
-        if at is None:
-            at = np.arange(max(0, len(w) - k + 1))
-        return _ranges(w, _lane(lane)[2], at, at + k)
+        n = max(0, len(self.lo) - k + 1)
+        bits = [b for b in range(k.bit_length() - 1, -1, -1) if k >> b & 1]
+        if at is not None and len(at) * k < n:
+            words, done, out = self._some(lane, at[:, None] + np.arange(k)), 0, None
+            for b in bits:
+                part = _doubled(words[:, done : done + (1 << b)], lane)
+                out = part if out is None else join(out, part, lane)
+                done += 1 << b
+            return out
+        if not n:
+            return np.zeros(0, U64)
+        out, done = self._run(lane, bits[0])[:n], 1 << bits[0]
+        for b in bits[1:]:
+            out = join(out, self._run(lane, b)[done : done + n], lane)
+            done += 1 << b
+        return out if at is None else out[at]
 
     def room(self) -> np.ndarray:
         """For each word, how many words its text has from there on."""
@@ -120,8 +172,21 @@ class Block:
         return np.repeat(self.off[1:], n) - np.arange(self.off[0], self.off[-1]) if len(n) else np.zeros(0, np.int64)
 
     def whole(self, lane: int) -> np.ndarray:
-        """Hash of each text's whole word sequence."""
-        return _ranges(self.words(lane), _lane(lane)[2], self.off[:-1], self.off[1:])
+        """Hash of each text's whole word sequence: a tree over its words, and their number."""
+        now, size = self.words(lane), np.diff(self.off)
+        start, n = self.off[:-1], size
+        while len(n) and n.max() > 1:
+            fewer = (n + 1) // 2
+            to = np.cumsum(fewer) - fewer
+            left = np.repeat(start - 2 * to, fewer) + 2 * np.arange(fewer.sum())
+            paired = left + 1 < np.repeat(start + n, fewer)
+            after = now[left]
+            after[paired] = join(after[paired], now[left[paired] + 1], lane)
+            now, start, n = after, to, fewer
+        out = size.astype(U64) + SEEDS[lane]
+        full = size > 0
+        out[full] = join(out[full], now[start[full]], lane)
+        return mix(out)
 
 
 def raw_blocks(column: pa.Array, most: int = BLOCK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -151,12 +216,6 @@ def blocks(column: pa.Array, keep: np.ndarray, fold: bool = False, most: int = B
         first += len(ends) - 1
 
 
-def byte_ranges(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """Hash of data[lo:hi] for each pair."""
-    table, base, _ = _lane(0)
-    return _ranges(table[data], base, lo, hi)
-
-
 def winnow(grams: np.ndarray, width: int, ok: np.ndarray) -> np.ndarray:
     """Positions that hold the leftmost minimum of some window of ``width`` consecutive grams.
 

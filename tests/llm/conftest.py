@@ -14,6 +14,8 @@ TEXTS = [
     "x  y   z   　 q", "<|endoftext|> a <|endoftext|>", "# " * 40, "It's 2024, don't panic!\r\n", "İstanbul ΣΑΣ ß é",
 ]
 ROWS = [(i, t) for i, t in enumerate(TEXTS)]
+#: Names that operators and stages use for columns of their own.
+CLASHES = ("row", "n_words", "lines", "h1", "h2", "d1", "seq", "nul", "id", "t1", "kept", "n_lines", "n_removed", "component_id", "__row", "key", "n", "text_hash", "i", "lcp", "runs", "all", "copy", "spans", "sha")
 SHAPE = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())])
 
 
@@ -25,8 +27,8 @@ def rows():
 @pytest.fixture(scope="session")
 def docs(spark):
     """The rows with columns whose names clash with those that operators use."""
-    kind = T.StructType([*SHAPE, *(T.StructField(n, T.StringType()) for n in ("row", "n_words", "lines", "h1", "seq", "kept", "component_id", "__row", "n"))])
-    return spark.createDataFrame([(i, t, *("clash",) * 9) for i, t in ROWS], kind).repartition(3)
+    kind = T.StructType([*SHAPE, *(T.StructField(n, T.StringType()) for n in CLASHES)])
+    return spark.createDataFrame([(i, t, *("clash",) * len(CLASHES)) for i, t in ROWS], kind).repartition(3)
 
 
 @pytest.fixture(scope="session")

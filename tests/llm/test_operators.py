@@ -75,11 +75,30 @@ def test_substring_odd_rows(odd, empty, docs, rows):
     same(table(substring_dedup.remove_repeats(docs, size=20, with_text=False, broadcast_ids=0)), brute.substring(rows, 20))
 
 
-def test_substring_random(spark):
+@pytest.mark.parametrize("size,start", [(6, 1), (6, 13), (21, 2), (40, 3)])
+def test_substring_random(spark, size, start):
+    """From one to four levels, repeats of all lengths around the window's; the largest id is a number like others."""
     r = random.Random(4)
-    texts = [" ".join(r.choice("abc") for _ in range(r.randrange(0, 60))) for _ in range(60)]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
-    same(table(substring_dedup.remove_repeats(df, size=6, with_text=False)), brute.substring(list(enumerate(texts)), 6))
+    texts = [" ".join(r.choice("abc") for _ in range(r.randrange(0, 80))) for _ in range(40)]
+    texts += [" ".join(t.split(" ")[r.randrange(5) : r.randrange(20, 70)] + [r.choice("abc") for _ in range(30)]) for t in texts]
+    rows = [(2**63 - 1 if i == 17 else i, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    same(table(substring_dedup.remove_repeats(df, size=size, with_text=False, start=start)), brute.substring(rows, size))
+
+
+def test_repeat_levels(spark):
+    """Reported lengths are repeated, and no repeat is four times as long."""
+    r = random.Random(6)
+    word = lambda: f"w{r.randrange(5000)}"
+    base = [word() for _ in range(400)]
+    texts = [" ".join([word() for _ in range(r.randrange(40))] + base[a : a + n] + [word() for _ in range(r.randrange(40))]) for n in (0, 2, 5, 11, 30, 70, 150, 300) for a in (0, 50)]
+    got = {x["doc_id"]: x["length"] for x in substring_dedup.repeat_levels(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), start=3).collect()}
+    for i, t in enumerate(texts):
+        w, others = t.split(" "), [f" {o} " for j, o in enumerate(texts) if j != i]
+        has = lambda n: any(f" {' '.join(w[p : p + n])} " in o for o in others for p in range(len(w) - n + 1)) if n <= len(w) else False
+        assert got[i] == 0 or has(got[i])
+        assert not has(4 * max(got[i], 1.5).__ceil__())
+    assert max(got.values()) >= 96
 
 
 # 3
@@ -87,13 +106,17 @@ def test_substring_random(spark):
 
 def test_lines(docs, rows, empty, odd):
     same(table(line_dedup.line_report(docs)), brute.lines(rows))
-    kept = line_dedup.without_repeats(docs, broadcast_ids=0)
-    assert set(docs.columns) <= set(kept.columns) - {"kept"} | {"kept"}
+    for most in (0, 1000):
+        kept = line_dedup.without_repeats(docs, broadcast_ids=most).collect()
+        own = {r["doc_id"]: r for r in docs.collect()}
+        assert len(kept) == len(own) and all(r["row"] == own[r["row"]["doc_id"]] for r in kept)
+        got = [(r["row"]["doc_id"], r["n_lines"], r["n_removed"], None if r["kept"] is None else brute.sha(r["kept"])) for r in kept]
+        assert sorted(got) == sorted(brute.lines(rows))
     assert line_dedup.line_report(empty).count() == 0
     assert line_dedup.line_report(odd).count() == 9
 
 
-@pytest.mark.parametrize("run", [1, 2, 4])
+@pytest.mark.parametrize("run", [1, 2, 3, 4])
 def test_lines_random(spark, run):
     r = random.Random(run)
     texts = ["\n".join(r.choice("abcd") for _ in range(r.randrange(1, 30))) for _ in range(40)]
@@ -101,23 +124,43 @@ def test_lines_random(spark, run):
     same(table(line_dedup.line_report(df, min_lines=run)), brute.lines(list(enumerate(texts)), run))
 
 
-def test_suffix_prefixes(spark):
-    """lcp is the largest power of two of lines shared with an earlier suffix."""
+@pytest.mark.parametrize("size", [1, 2, 3])
+def test_suffix_prefixes(spark, size):
+    """lcp is the largest of size, 2 size, 4 size, ... lines shared with an earlier suffix."""
     r = random.Random(9)
-    texts = [[r.choice("ab") for _ in range(12)] for _ in range(6)]
-    lines = spark.createDataFrame([(s, i, ord(x), 0) for s, t in enumerate(texts) for i, x in enumerate(t)], "seq long, i int, h1 long, h2 long")
-    got = {(x["seq"], x["i"]): x["lcp"] for x in line_dedup.repeated_suffixes(lines, 2).collect()}
+    texts = [[r.choice("ab") for _ in range(24)] for _ in range(6)]
+    rows = [(False, s, 0, i, int("".join(str(ord(x)) for x in t[i : i + size])), 0, [ord(x) for x in t[i : i + size]]) for s, t in enumerate(texts) for i in range(25 - size)]
+    windows = spark.createDataFrame(rows, "nul boolean, id long, t1 long, i int, w1 long, w2 long, ids array<long>")
+    got = {(x["id"], x["i"]): x["lcp"] for x in line_dedup.repeated_suffixes(windows, size).collect()}
     for s, t in enumerate(texts):
-        for i in range(12):
+        for i in range(24):
             best = 0
             for s2 in range(s + 1):
-                for j in range(12):
+                for j in range(24):
                     if (s2, j) < (s, i):
                         n = 0
-                        while i + n < 12 and j + n < 12 and t[i + n] == texts[s2][j + n]:
+                        while i + n < 24 and j + n < 24 and t[i + n] == texts[s2][j + n]:
                             n += 1
                         best = max(best, n)
-            assert got.get((s, i), 0) == (1 << best.bit_length() - 1 if best >= 2 else 0)
+            assert got.get((s, i), 0) == (size << (best // size).bit_length() - 1 if best >= size else 0)
+
+
+def test_runs_come_from_lcp(spark, monkeypatch):
+    """What goes is the union of [i, i + lcp): with every lcp cut to one line less goes."""
+    line = [f"line {i}" for i in range(40)]
+    docs = spark.createDataFrame([(0, "\n".join(line)), (1, "\n".join(["new", *line[3:20], "end"]))], "doc_id long, text string")
+    assert table(line_dedup.line_report(docs), "doc_id", "n_removed") == [(0, 0), (1, 17)]
+    real = line_dedup.repeated_suffixes
+    monkeypatch.setattr(line_dedup, "repeated_suffixes", lambda w, n: real(w, n).withColumn("lcp", F.lit(1)))
+    assert table(line_dedup.line_report(docs), "doc_id", "n_removed") == [(0, 0), (1, 16)]
+
+
+def test_scan(spark):
+    r = random.Random(2)
+    for n in (0, 1, 2, 3, 7, 8, 9, 100):
+        x = [r.randrange(100) for _ in range(n)]
+        got = spark.createDataFrame([(x,)], "x array<int>").select(quality_rules.scan(F.col("x"), F.greatest), quality_rules.scan(F.col("x"), lambda a, b: a + b)).first()
+        assert list(got[0]) == [max(x[: i + 1]) for i in range(n)] and list(got[1]) == [sum(x[: i + 1]) for i in range(n)]
 
 
 # 4
@@ -149,6 +192,16 @@ def test_contamination_random(spark, most):
     same(table(decontaminate.contamination(d, b, broadcast_windows=most)), brute.contaminated(rows, items))
 
 
+@pytest.mark.parametrize("most", [10_000, 0])
+def test_contamination_hot_window(spark, most):
+    """A window that all items have is one row of the benchmark, and documents still list all items."""
+    hot = "a window of ten words that all items have in common"
+    items = [(i, f"{hot} and item {i} has words of its own number {i}") for i in range(60)]
+    rows = [(i, f"before {hot} after" if i % 2 else f"nothing {i}") for i in range(40)] + [(40, items[7][1])]
+    d, b = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    same(table(decontaminate.contamination(d, b, broadcast_windows=most)), brute.contaminated(rows, items))
+
+
 # 5
 
 
@@ -195,6 +248,10 @@ def test_components(spark):
 
 def test_join(docs, rows, empty, odd):
     same(table(ngram_join.jaccard_components(docs)), brute.components(rows))
+    big = 2**63 - 1
+    ends = docs.select(F.when(F.col("doc_id") == 4, big).when(F.col("doc_id") > 4, F.col("doc_id")).alias("doc_id"), "text")
+    got = {(r["doc_id"], r["component_id"]) for r in ngram_join.jaccard_components(ends).collect()}
+    assert (big, 5) in got and not any(c == big for _, c in got)
     assert ngram_join.jaccard_components(empty).count() == 0
     got = table(ngram_join.jaccard_components(odd), "doc_id", "component_id")
     assert got.count((1, 1)) == 3 and got.count((2, 1)) == 2 and got.count((3, 1)) == 1 and (None, 1) in got and got.count((None, None)) == 2

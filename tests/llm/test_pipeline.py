@@ -94,6 +94,19 @@ def test_stages_on_odd_rows(spark, folder, odd, empty):
     assert kept.where("doc_id IN (2, 3)").count() == 0
 
 
+def test_stages_on_clashing_columns(spark, folder, docs):
+    """No stage trips over columns named like its own, or changes one."""
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, folder)
+        assert got.columns == docs.columns, name
+        own = {r["doc_id"]: r for r in docs.collect()}
+        for r in got.collect():
+            for c in docs.columns:
+                if name != "line_dedup" or c != "text":
+                    assert r[c] == own[r["doc_id"]][c], (name, c)
+    assert corpus_pipeline.token_stage(spark, docs, folder).count() == docs.count()
+
+
 def test_near_copies_of_five_words(spark, folder):
     """Near copies of 5-word Jaccard 0.8 to 0.85, that 4-word shingles at 85 % do not link, lose all but the first."""
     words = [f"n{i}w" for i in range(100)]
