@@ -6,7 +6,7 @@ stage's documents.  All but the last return the columns of documents; ``n_chars`
 follows the text where a stage changes it.
 
 1. ``quality_rules``: rejected documents go.
-2. ``line_dedup``: later copies of runs of two lines or more go, and of single
+2. ``line_dedup``: later copies of maximal runs of two lines or more go, and of single
    lines of ``LONG_WORDS`` words or more; a document that has no line left goes,
    unless it had none to lose.
 3. ``ngram_join``: of every component of similar documents (sets of five-word
@@ -37,13 +37,14 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = line_dedup.without_repeats(docs, full=False, long_words=LONG_WORDS)
+    cut = line_dedup.without_repeats(docs, long_words=LONG_WORDS)
     left = cut.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
     changed = F.col("n_removed") > 0
-    columns = {"text": F.when(changed, F.col("kept")).otherwise(F.col("text"))}
+    own = lambda c: F.col("row").getField(c)  # noqa: E731  the row stays apart, so its names cannot clash
+    columns = {"text": F.when(changed, F.col("kept")).otherwise(own("text"))}
     if "n_chars" in docs.columns:
-        columns["n_chars"] = F.when(changed, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return left.select(*(columns.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))
+        columns["n_chars"] = F.when(changed, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(own("n_chars"))
+    return left.select(*(columns.get(c, own(c)).alias(c) for c in docs.columns))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,10 +54,11 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     again = found.where("doc_id = component_id").groupBy(*key).count().where("count > 1").select(*key)
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
     left = rows.join(gone, ["doc_id", "text_hash"], "left_anti")
+    own = [F.col("row").getField(c).alias(c) for c in docs.columns]
     if again.isEmpty():
-        return left.select("row.*")
+        return left.select(*own)
     once = left.join(again, ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"])
-    return left.join(again, ["doc_id", "text_hash"], "left_anti").union(once.select(*left.columns)).select("row.*")
+    return left.join(again, ["doc_id", "text_hash"], "left_anti").union(once.select(*left.columns)).select(*own)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
