@@ -10,10 +10,11 @@ high in total and per step.  Both models are trained from labelled samples
 (token, label): random are the values of base matches and strings of digests of
 numbers, ordinary are the words and long tokens of a sample of documents
 outside base matches.  A token inside a base span is not named again.  Counting is distributed; what reaches the driver is one
-table of bigrams of the alphabet (66 by 66 numbers), whatever the input.
+table of bigrams of the alphabet (67 states by 66), whatever the input.
 
-Defined results: a null text is empty and has no spans; ids are carried, null
-or repeated; rows that repeat are scanned one by one; an empty table gives no
+Defined results: a null text is empty and has no spans; a very long text is
+scanned whole, in time n log n of its matches; spans that begin at one place are
+in the order of their kinds; ids are carried, null or repeated; rows that repeat are scanned one by one; an empty table gives no
 rows (and the models are then those of the generated strings alone); other
 columns are not read.
 """
@@ -25,7 +26,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimenta.llm.quality_rules import let
+from sedimenta.llm.quality_rules import let, scan as running
 from sedimenta.llm.shared import about
 
 #: Fixed patterns; ASCII letters of the first are matched in either case.
@@ -33,6 +34,8 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 12, 18, 16
+#: All base matches at once.
+BASE = f"AKIA[A-Z0-9]{{{MIN_ACCESS - 4},}}|[0-9a-f]{{{MIN_HEX},}}|" + ASSIGN.replace("]+)", f"]{{{MIN_ASSIGN},}})")
 KINDS = ("assign", "access", "hex", "markov")
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
@@ -54,19 +57,13 @@ def _places(text: Column, pattern: str, kind: int, keep) -> Column:
     """Sorted array of (start, kind, end, value) of the matches of a pattern that ``keep`` lets through."""
 
     def placed(matches: Column) -> Column:
-        pieces = F.split(text, pattern, -1)
         empty = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
-
-        def step(acc: Column, x: Column) -> Column:
-            start = acc["at"] + F.length(x["0"])
-            end = start + F.length(x["1"])
-            row = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["1"].alias("value"))
-            return F.struct(end.alias("at"), F.when(keep(x["1"]), F.concat(acc["out"], F.array(row))).otherwise(acc["out"]).alias("out"))
-
-        both = F.arrays_zip(F.slice(pieces, 1, F.greatest(F.size(matches), F.lit(0))).alias("0"), matches.alias("1"))
-        return F.when(F.size(matches) == 0, empty).otherwise(
-            F.aggregate(both, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda a: a["out"])
-        )
+        steps = lambda pieces: F.transform(matches, lambda m, i: F.length(F.get(pieces, i)) + F.length(m))
+        row = lambda m, end: F.struct((end - F.length(m)).alias("start"), F.lit(kind).alias("kind"), end.alias("end"), m.alias("value"))
+        # ends are running sums, so a text of many matches takes no more than its length
+        sums = lambda p: running(steps(p), lambda a, b: a + b)
+        rows = let(let(F.split(text, pattern, -1), sums), lambda ends: F.transform(matches, lambda m, i: row(m, F.get(ends, i))))
+        return F.when(F.size(matches) == 0, empty).otherwise(F.filter(rows, lambda r: keep(r["value"])))
 
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
 
@@ -100,7 +97,7 @@ def labelled_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     t = about(docs, train_docs, [id_col, text_col]).select(_text(F.col(f"`{text_col}`").cast("string")).alias("text")).select("text", base_spans(F.col("text")).alias("spans"))
     value = F.regexp_extract("s.value", r"([A-Za-z0-9+/_-]+)=*$", 1)
     known = t.select(F.explode("spans").alias("s")).select(value.alias("token"), F.lit(1).alias("label"))
-    rest = F.aggregate("spans", F.col("text"), lambda a, s: F.replace(a, s["value"], F.lit(" ")))
+    rest = F.regexp_replace("text", F.lit(BASE), F.lit(" "))
     plain = t.select(F.explode(F.regexp_extract_all(rest, F.lit(r"[A-Za-z][A-Za-z0-9_-]{3,}"), F.lit(0))).alias("token")).select("token", F.lit(0).alias("label"))
     digest = F.sha2(F.col("id").cast("string"), 256)
     made = spark.range(random_strings).select(

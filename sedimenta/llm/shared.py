@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where it is unset (local runs) a temporary one."""
+    """The folder named by spark.checkpoint.dir; only on a local master, where it may be unset, a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="sedimenta-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -30,11 +32,19 @@ def written(df: DataFrame, what: str) -> DataFrame:
 
 
 def about(docs: DataFrame, rows: int, columns: list[str]) -> DataFrame:
-    """A sample of about ``rows`` rows, told by a hash of ``columns``; all rows if there are no more."""
+    """``columns`` of about ``rows`` rows that differ in them, told by a hash; of all if there are no more rows.
+
+    Rows that agree in all columns are one, so neither nulls nor a text that a
+    third of all rows share can fill the sample; 2 ``rows`` is a hard bound.
+    """
     total = docs.count()
+    own = docs.select(*(F.col(f"`{c}`") for c in columns))
     if total <= rows:
-        return docs
-    return docs.where(F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in columns)), F.lit(total)) < rows)
+        return own
+    keyed = own.select(F.xxhash64(*own.columns).alias("key"), F.struct(*own.columns).alias("row")).where(F.pmod("key", F.lit(total)) < rows)
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    once = keyed.groupBy("key").agg(F.first("row").alias("row")).limit(2 * rows).repartition(min(tasks, 32))
+    return once.select(*(F.col("row").getField(c).alias(c) for c in columns))
 
 
 def drop(spark: SparkSession, path: str) -> None:

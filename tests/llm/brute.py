@@ -106,6 +106,18 @@ def quality(text):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(full) - len(set(full)), len(again)
 
 
+def good(text, q):
+    """Whether no quality rule rejects; q has the thresholds."""
+    n, chars, symbols, dup, again = quality(text)
+    full = [x for x in (text or "").split("\n") if spaced(x)]
+    letters = sum(bool(re.search("[A-Za-z\x80-\U0010ffff]", w)) for w in spaced(text))
+    broken = sum(x.rstrip(" \t\n\x0b\x0c\r").endswith(("...", "\u2026")) for x in full)
+    return not (
+        n < q.MIN_WORDS or 100 * again > q.MAX_REPEAT_PERCENT * n or symbols > q.MAX_SYMBOLS_PER_WORD * n or dup > q.MAX_DUP_LINE_SHARE * len(full)
+        or not q.MIN_MEAN_WORD * n <= chars <= q.MAX_MEAN_WORD * n or 100 * letters < q.MIN_LETTER_PERCENT * n or 100 * broken > q.MAX_ELLIPSIS_PERCENT * len(full)
+    )
+
+
 def components(rows, n=4, percent=85):
     """rows with distinct ids: (doc_id, size, component, links)."""
     sets = []

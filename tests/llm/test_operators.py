@@ -212,13 +212,50 @@ def test_quality(docs, rows, empty, odd):
         r = got[i]
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (n, chars, symbols, dup, again), i
         assert r["base_failed"] == (n < 20 or 100 * again > 30 * n)
-        assert not (r["kept"] and r["base_failed"])
+        assert r["kept"] == brute.good(t, quality_rules)
     kept = quality_rules.keep(docs)
     assert kept.columns == docs.columns
     assert {r["doc_id"] for r in kept.collect()} == {i for i, r in got.items() if r["kept"]}
     assert quality_rules.judged(empty).count() == 0 and quality_rules.judged(odd).count() == 9
 
 
+def test_quality_of_letters_and_ellipses(spark):
+    texts = ["1 2 3 4 " * 5 + "a b c d " * k for k in (1, 4, 5, 6)] + ["\n".join(f"line {i} of words{'...' if i < k else ''} \t" for i in range(10)) for k in (2, 3, 4)] + ["wait\u2026 no\nlast line\u2026 \n" + "w " * 20]
+    texts = [t + " " + " ".join(f"own{i}x{j}" if i > 3 else f"{j}{i}9" for j in range(9)) for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.judged(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: brute.good(t, quality_rules) for i, t in enumerate(texts)} and len(set(got.values())) == 2
+
+
+def test_sample_is_bounded(spark):
+    """Neither nulls nor a text of a third of the rows fill the sample."""
+    from sedimenta.llm.shared import about
+
+    df = spark.range(30_000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.when(F.col("id") % 3 == 1, F.concat(F.lit("text "), "id")).when(F.col("id") % 3 == 2, "hot").alias("text"))
+    for columns in (["text"], ["doc_id", "text"]):
+        sample = about(df, 500, columns)
+        assert sample.columns == columns and 0 < sample.count() <= 1000
+        assert sample.where("text = 'hot'").count() < 600 and sample.where("text IS NULL").count() < 2
+
+
+def test_quality_order_is_stable(spark):
+    """Cheap rules that reject much come first, time after time."""
+    r = random.Random(5)
+    rows = [(i, " ".join(f"w{r.randrange(900)}" for _ in range(r.choice((10, 400, 900)))) + (" said twice over" * 200 if i % 9 == 0 else "")) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).cache()
+    rules = quality_rules.default_rules(F.col("text"))
+    seen = [[x.name for x in quality_rules.order_rules(df, rules, id_col="doc_id")] for _ in range(5)]
+    assert all(x == seen[0] for x in seen), seen
+    assert seen[0].index("few_words") < seen[0].index("repeats")
+
+
+def test_cascade_skips_later_rules(spark):
+    """A rule is not evaluated for rows that an earlier one rejects."""
+    boom = F.raise_error(F.lit("evaluated")).cast("boolean")
+    rules = [quality_rules.Rule("all", F.col("text").isNotNull()), quality_rules.Rule("boom", boom)]
+    df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    assert df.select(quality_rules.cascade(rules)).first()[0] == "all"
+
+
 def test_quality_order_changes_nothing(docs):
     rules = quality_rules.default_rules(F.col("text"))
     sets = {frozenset(r["doc_id"] for r in docs.where(quality_rules.cascade(x).isNull()).collect()) for x in (rules, rules[::-1])}
@@ -275,9 +312,9 @@ def test_join_random(spark, percent, n, monkeypatch):
 # 9
 
 
-@pytest.mark.parametrize("words", [1_000_000, 20])
-def test_lm_counts(docs, rows, words, empty, odd):
-    got = {r["doc_id"]: r for r in lm_score.score_documents(docs, table_words=words).collect()}
+@pytest.mark.parametrize("share", [lm_score.MIN_SHARE, 0.002])
+def test_lm_counts(docs, rows, share, empty, odd):
+    got = {r["doc_id"]: r for r in lm_score.score_documents(docs, min_share=share).collect()}
     for i, held, n, known, total, base in brute.unigram(rows):
         r = got[i]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held, n, known, total)
@@ -303,6 +340,51 @@ def test_lm_learns(spark):
     assert got[0] / got[2] > got[1] / got[2] + 0.3
 
 
+def test_lm_scores_are_the_model(spark):
+    """``score`` is the sum, token by token, of the formula over the model's two softmaxes, for words in the table and others."""
+    import math
+
+    import numpy as np
+    import pyarrow as pa
+
+    r = random.Random(7)
+    texts = [" ".join(r.choice(["the", "of", "and", f"rare{r.randrange(300)}"]) for _ in range(r.randrange(0, 60))) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    model, counts, _ = lm_score.fit(df, min_share=0.01)
+    packed = np.concatenate([np.frombuffer(x["packed"], np.uint64).reshape(-1, 2) for x in counts.collect()])
+    count = dict(packed.tolist())
+    assert 0 < len(model.words) < len(count)
+    mass, kinds = np.zeros(256), np.zeros(256)
+    cell_of = {}
+    for h, c in count.items():
+        cell_of[h] = int(model.cells(np.array([h], np.uint64))[1][0])
+        mass[cell_of[h]] += c
+        kinds[cell_of[h]] += 1
+    got = {x["doc_id"]: x["score"] for x in lm_score.score_documents(df, min_share=0.01).collect()}
+    m32 = lambda x: int(lm_score.mix(np.array([x % 2**64], np.uint64))[0])
+    soft = lambda z: np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    for i, t in enumerate(texts):
+        ((_, _, tokens, _),) = lm_score._tokens(pa.array([t]))
+        total, seq = 0.0, [0, 0, *tokens.tolist()]
+        for two, one, h in zip(seq, seq[1:], seq[2:]):
+            features = [m32(one + 1), m32(((one * 3) % 2**64) ^ m32(two + 2)), m32(two + 5)]
+            cell = cell_of.get(h, 240 + (h >> 60))
+            k = cell >> 4
+            top = 64 - model.bits
+            p = soft(sum(model.weights[0][f >> top].astype(float) for f in features) + model.class_prior)
+            q = soft(sum(model.weights[1][m32(f + k * 0x9E3779B97F4A7C15) >> top].astype(float) for f in features) + model.bucket_prior[k])
+            total += math.log10(p[k] * q[cell & 15] * (count.get(h, 0) + 1) / (mass[cell] + kinds[cell] + 1))
+        assert got[i] == pytest.approx(total, rel=1e-4)
+
+
+def test_lm_grows(spark):
+    """Rows of weights grow with the training tokens, and the table holds words by their share alone."""
+    import numpy as np
+
+    sizes = [lm_score.Model(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(16, np.int64), np.zeros(16, np.int64), n, 0).weights.shape[1] for n in (0, 10**6, 4 * 10**6, 10**8, 10**12)]
+    assert sizes == [1 << 12, 1 << 12, 1 << 14, 1 << 17, 1 << 17]
+
+
 def test_lm_shares_add_up(spark):
     """Over all words of the vocabulary and one unknown a cell, a context's probabilities sum to one."""
     import numpy as np

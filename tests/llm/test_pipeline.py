@@ -31,13 +31,7 @@ def plain(rows, items):
 
     from sedimenta.llm import byte_bpe
 
-    def good(t):
-        n, chars, symbols, dup, again = brute.quality(t)
-        full = len([x for x in (t or "").split("\n") if brute.spaced(x)])
-        q = quality_rules
-        return not (n < q.MIN_WORDS or 100 * again > q.MAX_REPEAT_PERCENT * n or symbols > q.MAX_SYMBOLS_PER_WORD * n or dup > q.MAX_DUP_LINE_SHARE * full or not q.MIN_MEAN_WORD * n <= chars <= q.MAX_MEAN_WORD * n)
-
-    rows = [(i, t) for i, t in rows if good(t)]
+    rows = [(i, t) for i, t in rows if brute.good(t, quality_rules)]
     gone = {i: (n, cut) for i, n, cut, _ in brute.lines(rows)}
     digests = {i: d for i, _, _, d in brute.lines(rows)}
     kept = []
