@@ -1,8 +1,8 @@
 """Names that queries use and Spark has otherwise.
 
 ``prepare`` gives a session the SQL function ``theta_intersect``; ``rewrite``
-turns calls of ``approx_distinct``, ``approx_percentile_cont``, ``theta`` and
-``date_bin`` in a statement into Spark's, with the arguments that they imply,
+turns calls of ``approx_distinct``, ``approx_percentile_cont``, ``approx_top_k``,
+``theta`` and ``date_bin`` in a statement into Spark's, with the arguments that they imply,
 and ``CREATE VIEW`` into a view of the session.  Strings, quoted names and
 comments are left alone.
 """
@@ -61,6 +61,8 @@ def _call(name: str, args: list[str]) -> str:
     if name == "approx_percentile_cont" and len(args) in (2, 3):
         centroids = int(args[2]) if len(args) == 3 else 100
         return f"CAST(percentile_approx({args[0]}, {args[1]}, {max(100, centroids) * 100}) AS BIGINT)"
+    if name == "approx_top_k" and len(args) in (2, 3):
+        return _top(args[0], int(args[1]), int(args[2]) if len(args) == 3 else 0)
     if name == "theta" and len(args) in (1, 2):
         return f"theta_sketch_agg({args[0]}, {lg_entries(int(args[1]) if len(args) == 2 else THETA_ENTRIES)})"
     if name == "date_bin" and len(args) == 2:
@@ -68,12 +70,25 @@ def _call(name: str, args: list[str]) -> str:
     raise QueryError(f"{name} takes other arguments than ({', '.join(args)})")
 
 
+#: Values that an ``approx_top_k`` keeps count of, and gives out to be ordered; exact for fewer different ones.
+TRACKED, LISTED = 100_000, 10_000
+
+
+def _top(value: str, k: int, capacity: int) -> str:
+    """The k most frequent values as an array of (value, count): count descending, value ascending; nulls do not count."""
+    if not 1 <= k <= LISTED:
+        raise QueryError(f"k is from 1 to {LISTED}")
+    found = f"approx_top_k({value}, {LISTED}, {max(TRACKED, capacity)}) FILTER (WHERE ({value}) IS NOT NULL)"
+    order = "(a, b) -> CASE WHEN a.count > b.count THEN -1 WHEN a.count < b.count THEN 1 WHEN a.item < b.item THEN -1 WHEN a.item > b.item THEN 1 ELSE 0 END"
+    return f"transform(slice(array_sort({found}, {order}), 1, {k}), t -> named_struct('value', t.item, 'count', t.count))"
+
+
 def _duration(arg: str) -> str:
     """An interval literal as the duration text that windows take."""
     return re.sub(r"(?i)^\s*interval\s+", "", arg)
 
 
-NAMES = ("approx_distinct", "approx_percentile_cont", "theta", "date_bin")
+NAMES = ("approx_distinct", "approx_percentile_cont", "approx_top_k", "theta", "date_bin")
 
 
 def rewrite(sql: str) -> str:

@@ -270,7 +270,7 @@ def fluent_from_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
 def session_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _connection(spark, sf_dir).session("events")
     s.sql("CREATE VIEW buyers AS SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase'")
-    return s.frame("SELECT e.event_type, count(*) AS n FROM events e JOIN buyers b ON e.user_id = b.user_id GROUP BY e.event_type")
+    return s.plan("SELECT e.event_type, count(*) AS n FROM events e JOIN buyers b ON e.user_id = b.user_id GROUP BY e.event_type")
 
 
 def catalog_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -292,11 +292,19 @@ def prepared_statement(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _ingested(spark, sf_dir)
     engine = Engine(spark, d.root.rsplit("/", 1)[0])
     token = engine.open()
-    engine.plan("SELECT * FROM events", token)
-    sql = "SELECT user_id, count(*) AS n FROM events WHERE event_type = :kind GROUP BY user_id"
-    held = engine.resolve(token)
-    held.prepared["by_kind"] = sql
-    return held.spark.createDataFrame(engine.execute("by_kind", token, {"kind": "click"}))
+    statement = engine.prepare("SELECT user_id, count(*) AS n FROM events WHERE event_type = :kind GROUP BY user_id", token)
+    return spark.createDataFrame(engine.execute(statement, token, {"kind": "click"}))
+
+
+def approx_top_k_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The SQL function, through a session, for two columns of a group."""
+    s = _connection(spark, sf_dir).session_from_sql("SELECT event_type, explode(approx_top_k(user_id, 3)) AS t FROM events GROUP BY event_type")
+    return s.select("event_type, t.value AS value, t.count AS count").frame()
+
+
+def where_time_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of some days of a dataset that is sharded by month."""
+    return _ingested(spark, sf_dir, "monthly").where_time(1704153600, 1705017600).select("user_id", "event_type", "value")
 
 
 def ticket_once(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -386,6 +394,8 @@ def queries() -> dict:
         "approx_percentile": approx_percentile,
         "approx_top_k_group": approx_top_k_group,
         "approx_top_k_global": approx_top_k_global,
+        "approx_top_k_sql": approx_top_k_sql,
+        "where_time_monthly": where_time_monthly,
         "theta_distinct": theta_distinct,
         "theta_intersect": theta_intersect,
         **{f"native_query_{a}": _native(a) for a in native_query.AGGREGATES},
@@ -456,6 +466,9 @@ def oracle_sql() -> dict:
         "session_view": "SELECT event_type, count(*) AS n FROM events WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'purchase') GROUP BY 1",
         "catalog_columns": "SELECT * FROM (VALUES ('ts', 'timestamp_ntz', 'time', 0::INT, false), ('value', 'bigint', 'metric', 2, false), ('user_id', 'bigint', 'int', 0, false), ('event_type', 'string', 'string', 0, false)) t(name, type, kind, scale, nullable)",
         "sql_info": "SELECT * FROM (VALUES ('identifier_quote', '\"'), ('identifier_case', 'insensitive'), ('transactions', 'false')) t(name, value)",
+        "catalog_tables": "SELECT 'sedimenta' AS catalog, 'public' AS schema, 'events' AS name, 'TABLE' AS kind",
+        "approx_top_k_sql": "SELECT event_type, value, count FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY count DESC, value) AS i FROM (SELECT event_type, user_id AS value, count(*) AS count FROM events GROUP BY 1, 2)) WHERE i <= 3",
+        "where_time_monthly": f"SELECT user_id, event_type, value FROM ({STORED}) WHERE s BETWEEN 1704153600 AND 1705017600",
         "prepared_statement": "SELECT user_id, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY 1",
         "ticket_once": _with_stored("SELECT event_type, max(value) AS hi FROM e GROUP BY 1"),
         "external_table": "SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1",

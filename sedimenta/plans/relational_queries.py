@@ -59,6 +59,8 @@ STATEMENTS: dict[str, str] = {
     "percentile_exact": "SELECT event_type, CAST(round(percentile(CAST(round(value * 100) AS BIGINT), 0.9)) AS BIGINT) AS p FROM events GROUP BY event_type||SELECT event_type, CAST(round(quantile_cont(CAST(round(value * 100) AS BIGINT), 0.9)) AS BIGINT) AS p FROM events GROUP BY event_type",
     # joins
     "join_inner": "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING'",
+    "join_sort_merge": "SELECT /*+ MERGE(o) */ o_orderkey, c_name FROM orders o JOIN customer c ON o_custkey = c_custkey WHERE o_orderstatus = 'P'",
+    "join_broadcast": "SELECT /*+ BROADCAST(c) */ o_orderkey, c_name FROM orders o JOIN customer c ON o_custkey = c_custkey WHERE o_orderstatus = 'O'",
     "join_left": "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P'",
     "join_right": "SELECT c_custkey, o_orderkey FROM orders RIGHT JOIN customer ON o_custkey = c_custkey AND o_orderstatus = 'P'",
     "join_full": "SELECT s_suppkey, c_custkey FROM supplier FULL JOIN customer ON s_suppkey = c_custkey + 50",

@@ -3,7 +3,7 @@
 A field is the time field, a metric (aggregated), an int (filtered and
 aggregated) or a string (filtered).  Metrics and ints are stored as 64-bit
 integers; ``scale`` says by which power of ten a fraction was multiplied, and
-is not applied again when reading.
+is not applied again when reading.  The sidecar also says how the shards are cut.
 """
 
 from __future__ import annotations
@@ -35,6 +35,7 @@ class Field:
 @dataclass(frozen=True)
 class DatasetSchema:
     fields: tuple[Field, ...]
+    sharding: str | None = None  # not known of datasets whose sidecar does not say
 
     @property
     def time(self) -> str | None:
@@ -55,11 +56,14 @@ class DatasetSchema:
         shape = lambda s: [(f.name, f.kind, f.scale) for f in s.fields]
         if shape(self) != shape(other):
             raise SchemaConflict(f"schema conflict: dataset has {shape(self)}, this run has {shape(other)}")
-        return DatasetSchema(tuple(replace(a, nullable=a.nullable or b.nullable) for a, b in zip(self.fields, other.fields)))
+        if self.sharding and other.sharding and self.sharding != other.sharding:
+            raise SchemaConflict(f"schema conflict: dataset is sharded {self.sharding}, this run {other.sharding}")
+        return DatasetSchema(tuple(replace(a, nullable=a.nullable or b.nullable) for a, b in zip(self.fields, other.fields)), other.sharding or self.sharding)
 
     def to_json(self) -> str:
-        return json.dumps({"fields": [vars(f) for f in self.fields]}, indent=1)
+        return json.dumps({"fields": [vars(f) for f in self.fields], "sharding": self.sharding}, indent=1)
 
     @classmethod
     def from_json(cls, text: str) -> DatasetSchema:
-        return cls(tuple(Field(**f) for f in json.loads(text)["fields"]))
+        found = json.loads(text)
+        return cls(tuple(Field(**f) for f in found["fields"]), found.get("sharding"))

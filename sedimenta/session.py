@@ -103,10 +103,13 @@ class Engine:
         for t in list(self._held):
             self.close(t)
 
+    def lease(self) -> Lease:
+        return Lease(self)
+
     # statements
 
-    def plan(self, sql: str, token: str | None = None) -> DataFrame:
-        """The statement as a lazy DataFrame of the session, or of one made for it alone."""
+    def plan(self, sql: str, token: str | None = None, args: dict | None = None) -> DataFrame:
+        """The statement as a lazy DataFrame of the session, or of one made for it alone; ``args`` are its named parameters."""
         if token is None and _VIEW.match(sql):
             raise QueryError("a view needs a session")
         held = self.resolve(token) if token else _Held(prepare(self.spark.newSession()), 0, 0)
@@ -116,7 +119,7 @@ class Engine:
                 self._bind(held, name)
         for _ in range(64):  # each round resolves one name
             try:
-                df = held.spark.sql(text)
+                df = held.spark.sql(text, args) if args else held.spark.sql(text)
                 self._admit(df)
                 return df
             except AnalysisException as e:
@@ -131,17 +134,22 @@ class Engine:
         held.registered.add(name)
 
     def _admit(self, df: DataFrame) -> None:
-        """Refuse a plan without an exchange or limit whose whole result is over the session's share; others spill."""
+        """Refuse to hand out whole stored rows of more bytes than the session's share.
+
+        That is known before running only of plans that read and project
+        without choosing rows; others may be small whatever they read, and spill.
+        """
         share = self.settings.memory * self.settings.session_share // 100
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        if size > share and str(df._jdf.queryExecution().optimizedPlan().getClass().getSimpleName()) == "LogicalRelation":
+        plan = df._jdf.queryExecution().optimizedPlan()
+        size = int(str(plan.stats().sizeInBytes()))
+        if size > share and _kinds(plan) <= {"Project", "LogicalRelation", "Union"}:
             raise BudgetExceeded(f"about {size} bytes; the session's share is {share}")
 
-    def run(self, sql: str, token: str | None = None):
+    def run(self, sql: str, token: str | None = None, args: dict | None = None):
         """The statement's result as a pyarrow Table."""
         began = time.perf_counter()
         try:
-            out = self.plan(sql, token).toArrow()
+            out = self.plan(sql, token, args).toArrow()
         except Exception as e:
             self.metrics.record(sql, time.perf_counter() - began, None, type(e).__name__)
             raise
@@ -161,8 +169,13 @@ class Engine:
         return found[0].toArrow()
 
     def prepare(self, sql: str, token: str) -> str:
+        """Keep a statement that parses, and, if it has no parameters, can be planned."""
         name = uuid.uuid4().hex
-        self.plan(sql, token)  # fails now if it cannot be planned
+        try:
+            self.plan(sql, token)
+        except QueryError as e:
+            if getattr(e.__cause__, "getCondition", str)() != "UNBOUND_SQL_PARAMETER":
+                raise
         self.resolve(token).prepared[name] = sql
         return name
 
@@ -170,7 +183,7 @@ class Engine:
         sql = self.resolve(token).prepared.get(statement)
         if sql is None:
             raise QueryError("unknown statement")
-        return self.run(sql, token) if not args else self.resolve(token).spark.sql(rewrite(sql), args).toArrow()
+        return self.run(sql, token, args)
 
     def close_statement(self, statement: str, token: str) -> None:
         self.resolve(token).prepared.pop(statement, None)
@@ -208,6 +221,37 @@ class Engine:
         return self.spark.createDataFrame(list(rows.items()), "name string, value string")
 
 
+class Lease:
+    """A session that is opened anew, once a statement, if it has expired meanwhile; closed for good by its holder only."""
+
+    def __init__(self, engine: Engine):
+        self.engine, self.token, self.ended = engine, engine.open(), False
+
+    def held(self) -> str:
+        """The token of a session that is alive."""
+        if self.ended:
+            raise SessionLost("the session is closed")
+        try:
+            self.engine.resolve(self.token)
+        except SessionLost:
+            self.token = self.engine.open()
+        return self.token
+
+    def end(self) -> None:
+        if not self.ended:
+            self.engine.close(self.token)
+        self.ended = True
+
+
+def _kinds(plan) -> set[str]:
+    """Class names of a logical plan's nodes."""
+    found = {str(plan.getClass().getSimpleName())}
+    children = plan.children()
+    for i in range(children.size()):
+        found |= _kinds(children.apply(i))
+    return found
+
+
 def _missing(e: AnalysisException) -> str | None:
     """Name of the relation that a statement could not be planned for want of."""
     if e.getCondition() not in ("TABLE_OR_VIEW_NOT_FOUND",):

@@ -60,29 +60,33 @@ class Dataset:
         return kinds.join(F.broadcast(terms), "field", "left")  # one row a field
 
     def sharding(self) -> str:
-        """How the shards' names say that they were cut."""
+        """How the shards are cut: what the sidecar says, else what all names agree on; ``none`` if they do not."""
+        if self.schema.sharding:
+            return self.schema.sharding
         names = storage.children(self.spark, self.root)
-        first = next((n.split("=", 1)[1].replace("%3A", ":") for n in names if n.startswith(f"{SHARD}=")), "all")
-        return {3: "none", 7: "monthly", 13: "hourly"}.get(len(first), "daily")
+        lengths = {len(n.split("=", 1)[1].replace("%3A", ":")) for n in names if n.startswith(f"{SHARD}=")}
+        if len(lengths) != 1:
+            return "none"
+        # a daily name may be that of a week, whose bucket begins up to six days before
+        return {3: "none", 7: "monthly", 10: "weekly", 13: "hourly"}.get(lengths.pop(), "none")
 
-    def where_time(self, lo: int | None = None, hi: int | None = None, sharding: str | None = None) -> DataFrame:
+    def where_time(self, lo: int | None = None, hi: int | None = None) -> DataFrame:
         """Rows of a closed range of epoch seconds; shards outside it are not listed for reading.
 
         Bounds on the shard's name follow from those on the time, since names
         sort as their buckets do; without them only row groups would be skipped.
         """
-        by = sharding or self.sharding()
+        by = self.sharding()
         df, time = self.frame(keep_shard=True), F.col(f"`{self.schema.time}`")
         stamp = lambda s: F.timestamp_seconds(F.lit(s)).cast("timestamp_ntz")
-        weekly = 518_400 if by == "daily" else 0  # a daily name may be that of a week, whose bucket begins up to six days before
         if lo is not None:
             df = df.where(time >= stamp(lo))
             if by != "none":
-                df = df.where(F.col(SHARD) >= times.shard_name_of(lo - weekly, by))
+                df = df.where(F.col(SHARD) >= times.shard_name_of(lo, by))
         if hi is not None:
             df = df.where(time <= stamp(hi))
-            if by != "none":
-                df = df.where(F.col(SHARD) <= times.shard_name_of(hi, by))
+            if by != "none":  # a day's name is not after that of the week or day which holds it
+                df = df.where(F.col(SHARD) <= times.shard_name_of(hi, "daily" if by == "weekly" else by))
         return df.drop(SHARD)
 
     def whole_shards(self, lo: int, hi: int) -> DataFrame:

@@ -143,7 +143,7 @@ def publish(rows: DataFrame, fields: list[Field], root: str, roles: Roles) -> Da
         raise IngestError("no rows")
     if seen["bad"]:
         raise IngestError(f"{seen['bad']} rows have a time or number that does not fit")
-    now = DatasetSchema(tuple(Field(f.name, f.kind, f.scale, bool(seen[f"null_{i}"])) for i, f in enumerate(fields)))
+    now = DatasetSchema(tuple(Field(f.name, f.kind, f.scale, bool(seen[f"null_{i}"])) for i, f in enumerate(fields)), roles.shard_by)
     before = storage.read_text(spark, f"{root}/{SIDECAR}")
     schema = DatasetSchema.from_json(before).merged(now) if before else now
     time = F.col(f"`{roles.time}`")

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from sedimenta import cache, config, storage
 from sedimenta.cli import parser
 from sedimenta.cli import run as cli_run
-from sedimenta.errors import EngineError, IngestError, QueryError, SchemaConflict, SessionLost
+from sedimenta.config import Settings
+from sedimenta.errors import BudgetExceeded, EngineError, IngestError, QueryError, SchemaConflict, SessionLost
 from sedimenta.functions import sketches, times
 from sedimenta.functions.rewrite import prepare, rewrite
 from sedimenta.metrics import Metrics
@@ -117,6 +118,13 @@ def test_session_life(spark, taxi):
         engine.fetch(t, a)
     p = engine.prepare("SELECT count(*) AS n FROM taxi", a)
     assert engine.execute(p, a).to_pylist() == [{"n": 6}]
+    p = engine.prepare("SELECT count(*) AS n FROM taxi WHERE country = :c AND fare >= :least", a)
+    assert engine.execute(p, a, {"c": "us", "least": 0}).to_pylist()[0]["n"] > engine.execute(p, a, {"c": "zz", "least": 0}).to_pylist()[0]["n"] == 0
+    for bad in ("SELEC 1", "SELECT * FROM nowhere WHERE a = 1"):
+        with pytest.raises(QueryError):
+            engine.prepare(bad, a)
+    with pytest.raises(QueryError):
+        engine.execute(p, a)
     engine.close_statement(p, a)
     with pytest.raises(QueryError):
         engine.execute(p, a)
@@ -131,6 +139,49 @@ def test_session_life(spark, taxi):
         engine.open()
 
 
+def test_admission(spark, taxi):
+    small = Engine(spark, taxi.root.rsplit("/", 1)[0], Settings(memory=100))
+    for whole in ("SELECT * FROM taxi", "SELECT fare + 1 AS f, country FROM taxi", "SELECT fare FROM taxi UNION ALL SELECT fare FROM taxi"):
+        with pytest.raises(BudgetExceeded):
+            small.run(whole)
+    assert small.run("SELECT count(*) AS n FROM taxi").to_pylist() == [{"n": 6}]
+    assert len(Engine(spark, taxi.root.rsplit("/", 1)[0]).run("SELECT * FROM taxi")) == 6
+
+
+def test_top_k_in_sql(spark, taxi):
+    engine = Engine(spark, taxi.root.rsplit("/", 1)[0])
+    top = lambda sql: [(r["value"], r["count"]) for r in engine.run(sql).to_pylist()[0]["top"]]
+    rows = "(SELECT explode(array('b', 'a', 'a', 'b', 'c', NULL, NULL, NULL)) AS v)"
+    assert top(f"SELECT approx_top_k(v, 2) AS top FROM {rows}") == [("a", 2), ("b", 2)]
+    assert top(f"SELECT approx_top_k(v, 9, 1) AS top FROM {rows}") == [("a", 2), ("b", 2), ("c", 1)]
+    assert top(f"SELECT approx_top_k(v, 2) AS top FROM {rows} WHERE v = 'zz'") == []
+    with pytest.raises(QueryError):
+        engine.run("SELECT approx_top_k(fare, 0) FROM taxi")
+
+
+def test_one_sharding_a_dataset(spark, taxi):
+    """Runs that cut shards otherwise are refused, and names that do not agree are not used for pruning."""
+    from dataclasses import replace
+
+    path, root = storage.scratch(spark, "in"), storage.scratch(spark, "lake")
+    days = lambda *d: spark.createDataFrame([(x,) for x in d], "t string").select(F.to_timestamp_ntz("t").alias("ts"), F.lit(1).alias("v")).write.mode("overwrite").parquet(path)
+    days("2024-01-05T00:00:00", "2024-03-01T00:00:00")
+    for by in ("monthly", "weekly", "hourly", "daily"):
+        ingest(spark, path, f"{root}-{by}", Roles("ts", ("v",), shard_by=by), "parquet")
+        d = Dataset.open(spark, f"{root}-{by}")
+        assert d.sharding() == by
+        assert d.where_time(1704412800, 1704412800).count() == 1 and d.where_time(1704412800, None).count() == 2 and d.where_time(None, 1704412799).count() == 0
+        old = Dataset(spark, d.root, replace(d.schema, sharding=None))
+        assert old.where_time(1704412800, 1704412800).count() == 1 and old.where_time(1709251200).count() == 1
+    with pytest.raises(SchemaConflict):
+        ingest(spark, path, f"{root}-monthly", Roles("ts", ("v",), shard_by="daily"), "parquet")
+    mixed = Dataset.open(spark, f"{root}-monthly")
+    mixed.stored().where("false").write.mode("append").parquet(mixed.root)
+    spark.createDataFrame([(1706745600, 1)], "ts long, v long").write.parquet(f"{mixed.root}/_shard=2024-02-01")
+    both = Dataset(spark, mixed.root, replace(mixed.schema, sharding=None))
+    assert both.sharding() == "none" and both.where_time(1704067200, 1709078400).count() == 2
+
+
 def test_fluent_text(spark, taxi):
     engine = Engine(spark, taxi.root.rsplit("/", 1)[0])
     with connect(engine) as c:
