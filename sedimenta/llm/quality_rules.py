@@ -40,7 +40,7 @@ SYMBOLS = "#*$%&|<>"
 #: Rows, about, on which the cost and selectivity of the rules are estimated.
 SAMPLE_ROWS = 1000
 #: Times that every rule runs over the sample; gains within a step of this factor count as equal.
-RUNS, STEP = 4, 1.5
+RUNS, STEP = 3, 1.5
 
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30

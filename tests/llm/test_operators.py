@@ -382,7 +382,7 @@ def test_lm_grows(spark):
     import numpy as np
 
     sizes = [lm_score.Model(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(16, np.int64), np.zeros(16, np.int64), n, 0).weights.shape[1] for n in (0, 10**6, 4 * 10**6, 10**8, 10**12)]
-    assert sizes == [1 << 12, 1 << 12, 1 << 14, 1 << 17, 1 << 17]
+    assert sizes == [1 << 14, 1 << 14, 1 << 15, 1 << 17, 1 << 17]
 
 
 def test_lm_shares_add_up(spark):
