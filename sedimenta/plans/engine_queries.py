@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sedimenta import cache, storage
 from sedimenta.functions import sketches, times
 from sedimenta.functions.rewrite import prepare
-from sedimenta.operators import aggregates, filters, native_query
+from sedimenta.operators import aggregates, filters, joins, native_query
 from sedimenta.plans.fluent import connect
 from sedimenta.schema import INT, METRIC, SHARD, STRING, TIME, DatasetSchema, Field
 from sedimenta.session import Engine
@@ -42,6 +42,24 @@ def _ingested(spark: SparkSession, sf_dir: str, shard_by: str = "daily", name: s
     return Dataset.open(spark, root)
 
 
+# joins on time
+
+
+def as_of_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every purchase with the user's latest click that is not later."""
+    e = _events(spark, sf_dir)
+    clicks = e.where("event_type = 'click'").groupBy("user_id", "ts").agg(F.max("event_id").alias("event_id"))
+    own = e.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    return joins.as_of(own, clicks, ["user_id"], "ts", "ts", prefix="click_").select("event_id", F.col("click_event_id").alias("click_id"))
+
+
+def interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a user within the day after each purchase."""
+    e = _events(spark, sf_dir)
+    bought = e.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("id"), F.col("ts").alias("a"), (F.col("ts") + F.expr("INTERVAL 1 DAY")).alias("b"))
+    return joins.within(e.select("event_id", "user_id", "ts"), bought, ["user_id"], "ts", "a", "b", prefix="purchase_").select("event_id", "purchase_id")
+
+
 # predicates of the small language
 
 
@@ -386,6 +404,8 @@ def queries() -> dict:
         "scale_columns": scale_columns,
         "time_forms": time_forms,
         **{f"bucket_{unit}": _bucket(unit, *at) for unit, at in _BUCKETS.items()},
+        "as_of_join": as_of_join,
+        "interval_join": interval_join,
         "ftgs_multi_field": ftgs_multi_field,
         "merged_partials": merged_partials,
         "approx_distinct_global": approx_distinct_global,
@@ -466,6 +486,8 @@ def oracle_sql() -> dict:
         "session_view": "SELECT event_type, count(*) AS n FROM events WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'purchase') GROUP BY 1",
         "catalog_columns": "SELECT * FROM (VALUES ('ts', 'timestamp_ntz', 'time', 0::INT, false), ('value', 'bigint', 'metric', 2, false), ('user_id', 'bigint', 'int', 0, false), ('event_type', 'string', 'string', 0, false)) t(name, type, kind, scale, nullable)",
         "sql_info": "SELECT * FROM (VALUES ('identifier_quote', '\"'), ('identifier_case', 'insensitive'), ('transactions', 'false')) t(name, value)",
+        "as_of_join": "SELECT p.event_id, c.event_id AS click_id FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS event_id FROM events WHERE event_type = 'click' GROUP BY user_id, ts) c ON p.user_id = c.user_id AND p.ts >= c.ts",
+        "interval_join": "SELECT e.event_id, p.event_id AS purchase_id FROM events e JOIN events p ON e.user_id = p.user_id AND p.event_type = 'purchase' AND e.ts >= p.ts AND e.ts < p.ts + INTERVAL 1 DAY",
         "catalog_tables": "SELECT 'sedimenta' AS catalog, 'public' AS schema, 'events' AS name, 'TABLE' AS kind",
         "approx_top_k_sql": "SELECT event_type, value, count FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY count DESC, value) AS i FROM (SELECT event_type, user_id AS value, count(*) AS count FROM events GROUP BY 1, 2)) WHERE i <= 3",
         "where_time_monthly": f"SELECT user_id, event_type, value FROM ({STORED}) WHERE s BETWEEN 1704153600 AND 1705017600",
