@@ -16,11 +16,14 @@ from sedimenta.sources.dataset import Dataset
 class FilterCache:
     """Filtered frames by their set of predicates; the least recently used go first.
 
-    A query that adds predicates to a kept set starts from the kept rows.
+    A query that adds predicates to a kept set starts from the kept rows.  At
+    most ``most`` frames are kept, and those of ``limit`` bytes by Catalyst's
+    estimate; one that is larger alone is handed out and not kept.
     """
 
-    def __init__(self, df: DataFrame, most: int = 8):
-        self.df, self.most, self.kept = df, most, OrderedDict()
+    def __init__(self, df: DataFrame, most: int = 8, limit: int | None = None):
+        self.df, self.most, self.limit, self.kept = df, most, limit, OrderedDict()
+        self.sizes: dict[frozenset, int] = {}
         self.hits = self.narrowed = self.misses = 0
 
     def where(self, *predicates: str) -> DataFrame:
@@ -35,14 +38,27 @@ class FilterCache:
         out = self.df if wider is None else self.kept[wider]
         for p in sorted(key - (wider or frozenset())):
             out = out.where(F.expr(p))
+        size = int(str(out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        if self.limit is not None and size > self.limit:
+            return out
         self.kept[key] = out = out.persist(StorageLevel.MEMORY_AND_DISK)
-        while len(self.kept) > self.most:
-            self.kept.popitem(last=False)[1].unpersist()
+        self.sizes[key] = size
+        while len(self.kept) > self.most or self.limit is not None and self.bytes > self.limit:
+            self._drop()
         return out
 
+    @property
+    def bytes(self) -> int:
+        return sum(list(self.sizes.values()))
+
+    def _drop(self) -> None:
+        key, df = self.kept.popitem(last=False)
+        del self.sizes[key]
+        df.unpersist()
+
     def clear(self) -> None:
         while self.kept:
-            self.kept.popitem()[1].unpersist()
+            self._drop()
 
 
 def write_rollup(dataset: Dataset, name: str, keys: list[str], sums: list[str]) -> DataFrame:

@@ -1,15 +1,18 @@
-"""Command line: ``query``, ``sql``, ``ingest``, ``shard list``, ``shard inspect``, ``storage check``, ``storage summarize``."""
+"""Command line: ``query``, ``sql``, ``ingest``, ``shard list``, ``shard inspect``, ``storage check``, ``storage summarize``, ``serve``."""
 
 from __future__ import annotations
 
 import argparse
+import signal
 import sys
+import threading
 
-from sedimenta import config, storage
+from sedimenta import config, ops_http, storage
 from sedimenta.errors import EngineError
 from sedimenta.functions.rewrite import prepare, rewrite
 from sedimenta.functions.times import SHARDINGS
 from sedimenta.operators import native_query
+from sedimenta.session import Engine
 from sedimenta.sources import ingest
 from sedimenta.sources.dataset import Dataset
 
@@ -52,9 +55,27 @@ def parser() -> argparse.ArgumentParser:
     st = verbs.add_parser("storage").add_subparsers(dest="what", required=True)
     for what in ("check", "summarize"):
         st.add_parser(what).add_argument("url")
+    v = verbs.add_parser("serve")
+    v.add_argument("root")
+    v.add_argument("--host", default="127.0.0.1")
+    v.add_argument("--port", type=int, default=8080)
+    v.add_argument("--config")
     return p
 
 
+def serve(engine: Engine, host: str, port: int, stop: threading.Event, out=None) -> None:
+    """Serve health, counters and status until ``stop`` is set, then drain the engine's sessions."""
+    server = ops_http.serve(engine, port, host)
+    print(f"serving {engine.root} at http://{host}:{server.server_port}", file=out, flush=True)
+    try:
+        while not stop.wait(engine.settings.sweep_seconds):
+            engine.sweep()
+    finally:
+        engine.drain()
+        server.shutdown()
+        server.server_close()
+
+
 def run(args: argparse.Namespace, spark, out=None) -> None:
     prepare(spark)
     if args.verb == "query":
@@ -70,6 +91,11 @@ def run(args: argparse.Namespace, spark, out=None) -> None:
         d = Dataset.open(spark, args.dataset)
         found = d.shards().orderBy("shard") if args.what == "list" else d.inspect(args.shard)
         print(found._show_string(1000, False, False), file=out)
+    elif args.verb == "serve":
+        stop = threading.Event()
+        for s in (signal.SIGINT, signal.SIGTERM):
+            signal.signal(s, lambda *_: stop.set())
+        serve(Engine(spark, args.root, config.Settings.load(file=args.config)), args.host, args.port, stop, out)
     elif args.what == "check":
         c = storage.check(spark, args.url)
         print("\n".join([*c["first"], f"{c['objects']} objects, {c['bytes']} bytes"]), file=out)

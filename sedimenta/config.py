@@ -37,6 +37,8 @@ class Settings:
     idle_seconds: int = 1800
     age_seconds: int = 4 * 3600
     ticket_seconds: int = 300
+    sweep_seconds: int = 60
+    cache_share: int = 20  # per cent of memory
     shuffle_partitions: int = 0  # 0: Spark's own
 
     @classmethod

@@ -5,6 +5,7 @@ from __future__ import annotations
 import threading
 import time
 from collections import deque
+from collections.abc import Callable
 
 BOUNDS = (0.001, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
 
@@ -16,6 +17,7 @@ class Metrics:
         self.queries, self.failures, self.seconds = 0, 0, 0.0
         self.histogram = [0] * (len(BOUNDS) + 1)
         self.recent: deque = deque(maxlen=recent)
+        self.gauges: dict[str, Callable[[], float]] = {}  # read when asked for
 
     def record(self, sql: str, seconds: float, rows: int | None, error: str | None = None) -> None:
         with self._lock:
@@ -45,4 +47,6 @@ class Metrics:
                 lines.append(f'sedimenta_query_seconds_bucket{{le="{bound}"}} {total}')
             lines += [f"sedimenta_query_seconds_sum {self.seconds}", f"sedimenta_query_seconds_count {total}"]
             lines += ["# TYPE sedimenta_query_failures counter", f"sedimenta_query_failures {self.failures}", "# TYPE sedimenta_sessions gauge", f"sedimenta_sessions {sessions}"]
+            for name, value in self.gauges.items():
+                lines += [f"# TYPE sedimenta_{name} gauge", f"sedimenta_{name} {value()}"]
             return "\n".join(lines) + "\n"

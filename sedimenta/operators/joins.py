@@ -44,9 +44,9 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, ri
     """Every row of ``left`` with the latest row of ``right`` of its keys that is not later than it, or nulls.
 
     Of several rows of ``right`` at one time the greatest is taken, by its columns
-    in their order, which have to be orderable.  Both sides are shuffled once, by
-    key and slice; the last row of every slice is carried into the later slices
-    of its key that have rows of ``left``.
+    in their order, which have to be orderable.  Rows meet by key and slice; the
+    last row of every slice, aggregated before it is shuffled, is carried into the
+    later slices of its key that have rows of ``left``.
     """
     _check(keys, width)
     own = [c for c in right.columns if c not in keys]

@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
+from sedimenta.cache import FilterCache
 from sedimenta.config import Settings
 from sedimenta.errors import BudgetExceeded, EngineError, QueryError, SessionLost
 from sedimenta.functions.rewrite import prepare, rewrite
@@ -44,8 +45,44 @@ class Engine:
         self._held: dict[str, _Held] = {}
         self._lock = threading.RLock()
         self._draining = False
+        self._filters: dict[str, FilterCache] = {}
+        self.metrics.gauges = {
+            "memory_bytes": lambda: self.settings.memory,
+            "session_share_bytes": lambda: self.settings.memory * self.settings.session_share // 100,
+            "filter_cache_limit_bytes": lambda: self._cache_limit,
+            "filter_cache_bytes": lambda: sum(c.bytes for c in list(self._filters.values())),
+            "filter_cache_entries": lambda: sum(len(c.kept) for c in list(self._filters.values())),
+            "filter_cache_hits": lambda: sum(c.hits + c.narrowed for c in list(self._filters.values())),
+            "filter_cache_misses": lambda: sum(c.misses for c in list(self._filters.values())),
+        }
         self.metrics.ready = True
 
+    # filters
+
+    @property
+    def _cache_limit(self) -> int:
+        return self.settings.memory * self.settings.cache_share // 100
+
+    def filtered(self, name: str, *predicates: str) -> DataFrame:
+        """A dataset's rows by SQL predicates, from kept rows of fewer predicates where there are any.
+
+        All datasets together keep no more than the cache's share of memory;
+        ``forget`` frees what is kept of one, as after an ingest.
+        """
+        with self._lock:
+            if name not in self._filters:
+                if name not in datasets(self.spark, self.root):
+                    raise QueryError(f"no dataset {name!r}")
+                self._filters[name] = FilterCache(Dataset.open(self.spark, f"{self.root}/{name}").frame())
+            cache = self._filters[name]
+            cache.limit = self._cache_limit - sum(c.bytes for c in self._filters.values() if c is not cache)
+            return cache.where(*predicates)
+
+    def forget(self, name: str) -> None:
+        with self._lock:
+            if cache := self._filters.pop(name, None):
+                cache.clear()
+
     # sessions
 
     def open(self) -> str:
@@ -102,6 +139,8 @@ class Engine:
             time.sleep(0.1)
         for t in list(self._held):
             self.close(t)
+        for name in list(self._filters):
+            self.forget(name)
 
     def lease(self) -> Lease:
         return Lease(self)

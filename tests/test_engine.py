@@ -326,6 +326,49 @@ def test_http(spark, taxi):
     assert answer(engine, "/readyz")[0] == 503 and answer(engine, "/nothing")[0] == 404
 
 
+def test_filters_are_kept_within_a_share(spark, taxi):
+    root = taxi.root.rsplit("/", 1)[0]
+    engine = Engine(spark, root)
+    assert engine.filtered("taxi", "fare > 100").count() == 5
+    assert engine.filtered("taxi", "fare > 100", "fare < 500").count() == 3
+    assert engine.filtered("taxi", "fare > 100").count() == 5
+    text = engine.metrics.text()
+    assert "sedimenta_filter_cache_entries 2" in text and "sedimenta_filter_cache_hits 2" in text and "sedimenta_filter_cache_misses 1" in text
+    engine.forget("taxi")
+    assert "sedimenta_filter_cache_bytes 0" in engine.metrics.text()
+    small = Engine(spark, root, config.Settings(memory=100))
+    assert small.filtered("taxi", "fare > 100").count() == 5
+    assert "sedimenta_filter_cache_entries 0" in small.metrics.text()
+    with pytest.raises(QueryError):
+        engine.filtered("nothing", "fare > 100")
+
+
+def test_serve_until_stopped(spark, taxi, capsys):
+    import threading
+    import urllib.request
+
+    from sedimenta.cli import serve
+
+    engine, stop = Engine(spark, taxi.root.rsplit("/", 1)[0]), threading.Event()
+    engine.open()
+    t = threading.Thread(target=serve, args=(engine, "127.0.0.1", 0, stop))
+    t.start()
+    try:
+        for _ in range(100):
+            at = capsys.readouterr().out.strip()
+            if at:
+                break
+            stop.wait(0.1)
+        url = at.rsplit(" ", 1)[1]
+        assert urllib.request.urlopen(f"{url}/readyz", timeout=10).read() == b"ready"
+    finally:
+        stop.set()
+        t.join(60)
+    assert not t.is_alive() and engine.sessions == 0
+    args = parser().parse_args(["serve", "lake", "--port", "9000"])
+    assert (args.root, args.host, args.port) == ("lake", "127.0.0.1", 9000)
+
+
 def test_result_forms(spark, taxi):
     with connect(Engine(spark, taxi.root.rsplit("/", 1)[0])) as c:
         q = c.session("taxi").select("fare")
