@@ -46,6 +46,32 @@ def test_secret_scan_finds_what_no_pattern_names(spark, docs):
     assert got[4] == "assign:2:22"
 
 
+def test_secret_spans_are_the_models(spark, docs, rows):
+    """All spans, the models' included, against a plain version of the ratio."""
+    import re
+
+    model = secret_scan.train(secret_scan.labelled_sample(docs))
+    r = random.Random(3)
+    token = lambda: "".join(r.choice(secret_scan.ALPHABET) for _ in range(r.randrange(14, 40)))
+    words = ["internationalization_of_names", "😀", "token=", "deadbeef" * 3, "", "AKIA" + "B7" * 8, "\n"]
+    made = [(10**6 + i, " ".join(r.choice([token(), r.choice(words), token() + "é" + token()]) for _ in range(12))) for i in range(60)]
+    named = []
+    size = secret_scan.START + 1
+    for i, t in [*rows, *made]:
+        base = brute.base_spans(t)
+        spans = list(base)
+        for m in re.finditer(secret_scan.TOKEN, t or ""):
+            at = [secret_scan.START, *map(secret_scan.ALPHABET.index, m[0])]
+            ratio = sum(model[a * size + b] for a, b in zip(at, at[1:]))
+            clear = ratio >= secret_scan.MIN_TOTAL and ratio >= secret_scan.MIN_STEP * len(m[0])
+            if clear and not any(a <= m.start() and z >= m.end() for a, _, z in base):
+                spans.append((m.start(), 3, m.end()))
+        named.append((i, ",".join(f"{secret_scan.KINDS[k]}:{a}:{z}" for a, k, z in sorted(spans))))
+    df = docs.select("doc_id", "text").union(spark.createDataFrame(made, "doc_id long, text string"))
+    same(table(secret_scan.scan(df, model), "doc_id", "spans"), named)
+    assert sum("markov" in x for _, x in named) > 20
+
+
 def test_secret_models_tell_held_out_strings_apart(spark, docs):
     """Accuracy on random strings and words that took no part in training."""
     model = secret_scan.train(secret_scan.labelled_sample(docs))
