@@ -78,7 +78,7 @@ def test_filters_refused(text):
         filters.parse(text)
 
 
-def test_filters_read():
+def test_filters_read(spark):
     assert filters.parse("q=a=b") == filters.Clause("q", value="a=b")
     assert filters.parse("v=1..2") == filters.Clause("v", lo="1", hi="2")
     assert str(filters.parse("v=..200")) == "v=..200"
