@@ -10,9 +10,12 @@ at least ``percent`` / 100.
    leading bits of its n-grams' hashes, into K(m) > H(m) parts, so two similar
    sets agree in K - H whole parts at least.  A set is dealt for each K that a
    partner no smaller than it may use.  A part's name is the mixed sum of its
-   hashes.  Parts are ranked by their number of n-grams, then by name, alike in
-   every set that has them; a set sends its H + 1 highest alone, since the
-   highest part that two similar sets agree in is among those of both.
+   hashes.  Parts are ranked by their number of uncommon n-grams, by that of all,
+   then by name, alike in every set that has them; a set sends its H + 1 highest
+   alone, since the highest part that two similar sets agree in is among those of
+   both.  Common n-grams are those that recur in a sample of ``SAMPLE`` texts:
+   passages that many texts share would else join most of a large corpus into
+   one block.  What the sample holds changes blocks, never links.
    Part names travel packed, by ranges of names; a task sends each name once,
    with the least set that has it, and links the others to that one.
 3. Components of "agree in a part" are the blocks of rows.  Within a block the
@@ -45,14 +48,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sedimenta.llm.components import components
-from sedimenta.llm.shared import written
+from sedimenta.llm.shared import about, trim, trimmed, written
 from sedimenta.llm.wordhash import SPACED, U64, Block, blocks, mix
 
 N, PERCENT = 4, 85
 #: Bytes of part names that one task gathers, and of rows that one product takes a side.
 RANGE_BYTES, CUT_BYTES, CUT_ROWS = 12 << 20, 8 << 20, 1024
 #: Part names (16 bytes each) that a task holds before it sends them on.
-HELD = 1_500_000
+HELD = 750_000
+#: Texts whose recurring n-grams are common, and bits of a hash by which those are told.
+SAMPLE, COMMON_BITS = 8192, 22
 #: Documents that are looked up by sending their ids (24 bytes each) to every task.
 BROADCAST_IDS = 200_000
 
@@ -96,19 +101,52 @@ def levels(n: int, percent: int) -> list[int]:
     return out
 
 
-def _names(g: np.ndarray, percent: int) -> list[np.ndarray]:
+def _slots(g: np.ndarray) -> np.ndarray:
+    return (mix(g ^ U64(0x6A09E667F3BCC909)) >> U64(64 - COMMON_BITS)).astype(np.int64)
+
+
+def _sampled(batches: Iterator[pa.RecordBatch], n: int, ranges: int) -> Iterator[pa.RecordBatch]:
+    """The n-grams of each text, once a text, by ranges."""
+    for batch in batches:
+        for b in blocks(batch.column(0), SPACED, True):
+            grams = np.sort(np.concatenate([np.zeros(0, U64), *_sets(b, n)]))
+            at = np.append(np.searchsorted(grams, np.arange(ranges, dtype=U64) * U64((1 << 64) // ranges)), len(grams))
+            cut = [grams[i:j].tobytes() for i, j in zip(at[:-1], at[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(ranges, dtype=np.int32)), pa.array(cut, pa.binary())], ["range", "grams"])
+
+
+def _recurring(table: pa.Table) -> pa.Table:
+    """Slots of the n-grams of one range that two texts have."""
+    grams, count = np.unique(np.concatenate([np.frombuffer(x.as_buffer(), U64) for x in table.column("grams")]), return_counts=True)
+    return pa.table({"slots": pa.array([np.unique(_slots(grams[count > 1])).astype(np.int32).tobytes()], pa.binary())})
+
+
+def common_slots(d: DataFrame, n: int, ranges: int = 16) -> np.ndarray:
+    """Which slots hold n-grams that recur in the sample: 2 ** COMMON_BITS bits, whatever the input."""
+    cut = about(d, SAMPLE, ["text"]).mapInArrow(trimmed(lambda it: _sampled(it, n, ranges)), "range int, grams binary")
+    found = cut.groupBy("range").applyInArrow(_recurring, "slots binary").toArrow()
+    out = np.zeros(1 << COMMON_BITS, bool)
+    for x in found.column("slots"):
+        out[np.frombuffer(x.as_buffer(), np.int32)] = True
+    return np.packbits(out)
+
+
+def _names(g: np.ndarray, percent: int, common: np.ndarray) -> list[np.ndarray]:
     """Names of a set's parts."""
     n, mixed, out = len(g), mix(g ^ U64(0x2545F4914F6CDD1D)), []
+    slots = _slots(g)
+    rare = np.concatenate([[0], np.cumsum((common[slots >> 3] >> (7 - (slots & 7))) & 1 ^ 1)])
     most = (100 - percent) * (n + 100 * n // percent) // (100 + percent)
     for k in levels(n, percent):
         if k == 1:
             continue  # such sets are similar to equal ones only
         at = np.searchsorted(g, np.arange(k, dtype=U64) << U64(65 - k.bit_length()))
         size = np.diff(at, append=n)
+        uncommon = np.diff(rare[at], append=rare[n])
         full = size > 0
         name = mix(np.arange(k, dtype=U64) + U64(k << 32))
         name[full] = mix(np.add.reduceat(mixed, at[full]) + name[full])
-        out.append(name[np.lexsort((name, size))[max(0, k - most - 1) :]])
+        out.append(name[np.lexsort((name, size, uncommon))[max(0, k - most - 1) :]])
     return out
 
 
@@ -151,7 +189,7 @@ def _unique(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[new], b[new]
 
 
-def _packed(batches: Iterator[pa.RecordBatch], n: int, percent: int, ranges: int) -> Iterator[pa.RecordBatch]:
+def _packed(batches: Iterator[pa.RecordBatch], n: int, percent: int, ranges: int, common: np.ndarray) -> Iterator[pa.RecordBatch]:
     """(range, edges?, pairs of 64-bit numbers) of the part names of whole batches."""
     held: list[np.ndarray] = []
     owner: list[np.ndarray] = []
@@ -178,7 +216,7 @@ def _packed(batches: Iterator[pa.RecordBatch], n: int, percent: int, ranges: int
             for g in _sets(b, n):
                 if len(g):
                     d = _digest(g)[0]
-                    for x in _names(g, percent):
+                    for x in _names(g, percent, common):
                         held.append(x)
                         owner.append(np.full(len(x), d, U64))
                         count += len(x)
@@ -200,7 +238,10 @@ def _met(table: pa.Table) -> pa.Table:
     if pairs[True]:
         more = np.concatenate(pairs[True])
         a, b = np.concatenate([a, more[:, 0]]), np.concatenate([b, more[:, 1]])
+        del more
     a, b = _unique(a, b)
+    pairs.clear()
+    trim()
     return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
 
@@ -274,6 +315,7 @@ def _multiply(table: pa.Table, percent: int) -> pa.Table:
         linked = links > 0
         out.append((ids[own][linked], least[label][linked], links[linked]))
     a, b, c = (np.concatenate([o[i] for o in out]) if out else np.zeros(0, np.int64) for i in range(3))
+    trim()
     return pa.table({"a": a.astype(np.int64), "b": b.astype(np.int64), "links": c.astype(np.int64)})
 
 
@@ -285,7 +327,7 @@ def jaccard_components(
         raise ValueError("percent is 1 to 100")
     d = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     d = d.select("doc_id", "text", F.xxhash64("text").alias("text_hash"), F.xxhash64("doc_id", "text").alias("rk"))
-    per = written(d.mapInArrow(lambda it: _per_document(it, n, percent), "doc_id long, text_hash long, rk long, n long, d1 long, d2 long, names long"), "sets")
+    per = written(d.mapInArrow(trimmed(lambda it: _per_document(it, n, percent)), "doc_id long, text_hash long, rk long, n long, d1 long, d2 long, names long"), "sets")
     # the least id, and one row that has the set
     classes = written(
         per.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.min("rk").alias("rk"), F.count("*").alias("copies"), F.first("n").alias("n")), "classes"
@@ -293,9 +335,10 @@ def jaccard_components(
 
     names = per.agg(F.sum("names").alias("s")).first()["s"] or 0
     ranges = max(1, -(-16 * names // RANGE_BYTES))
+    common = d.sparkSession.sparkContext.broadcast(common_slots(d, n))  # bounded: 2 ** COMMON_BITS bits
     edges = (
         d.select("text")
-        .mapInArrow(lambda it: _packed(it, n, percent, ranges), "range int, edges boolean, pairs binary")
+        .mapInArrow(trimmed(lambda it: _packed(it, n, percent, ranges, common.value)), "range int, edges boolean, pairs binary")
         .groupBy("range")
         .applyInArrow(_met, "a long, b long")
     )
@@ -315,7 +358,7 @@ def jaccard_components(
         d.select("rk", "text")
         .join(want, "rk")
         .select("text", "d1", "d2", "block", "copies", "cuts")
-        .mapInArrow(lambda it: _rows(it, n), "d1 long, block long, copies long, cuts int, grams binary")
+        .mapInArrow(trimmed(lambda it: _rows(it, n)), "d1 long, block long, copies long, cuts int, grams binary")
     )
     # each cut meets every other once, and itself; rows are sent to as many tasks as there are cuts
     mine = F.pmod(F.xxhash64("d1"), F.col("cuts")).cast("int")

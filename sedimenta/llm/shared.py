@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import suppress
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +35,23 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def trim() -> None:
+    """Hand freed memory back; a Python worker that waits for its next task would keep it."""
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError):  # where there is no glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def trimmed(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function of batches that ends with ``trim``."""
+
+    def run(it: Iterator) -> Iterator:
+        yield from f(it)
+        trim()
+
+    return run
+
+
 def about(docs: DataFrame, rows: int, columns: list[str]) -> DataFrame:
     """``columns`` of about ``rows`` rows that differ in them, told by a hash; of all if there are no more rows.
 

@@ -335,6 +335,18 @@ def test_join_random(spark, percent, n, monkeypatch):
     same(table(ngram_join.jaccard_components(df, n=n, percent=percent)), brute.components(rows, n, percent))
 
 
+def test_join_common_passage(spark, monkeypatch):
+    """A passage that many texts share puts no two of them into one block; near copies still link."""
+    r = random.Random(5)
+    words = lambda k: ["".join(r.choices("abcdefghij", k=6)) for _ in range(k)]
+    passage, seen, keep = words(100), {}, ngram_join.written
+    rows = [(i, " ".join(words(160) + passage)) for i in range(200)]
+    rows.append((200, rows[7][1] + " end"))
+    monkeypatch.setattr(ngram_join, "written", lambda df, what: seen.setdefault(what, keep(df, what)))
+    same(table(ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))), brute.components(rows))
+    assert seen["rows"].count() == 2
+
+
 # 9
 
 
