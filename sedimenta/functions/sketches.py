@@ -1,7 +1,7 @@
 """Approximate aggregates, as expressions over Spark's sketches.
 
 ``approx_distinct`` is exact up to about 16 000 distinct values and within one
-percent beyond; ``theta`` gives mergeable sketches; ``approx_top_k`` is exact
+percent beyond, ``distinct`` exact for any number; ``theta`` gives mergeable sketches; ``approx_top_k`` is exact
 in counts and in the order of ties.
 """
 
@@ -19,10 +19,16 @@ DISTINCT_LG, THETA_ENTRIES = 14, 4096
 
 
 def approx_distinct(c: str | Column) -> Column:
-    """Number of distinct values that are not null; 0 for none."""
+    """Estimated number of distinct values that are not null; 0 for none."""
     return F.call_function("theta_sketch_estimate", F.call_function("theta_sketch_agg", _col(c), F.lit(DISTINCT_LG)))
 
 
+def distinct(c: str | Column) -> Column:
+    """Number of distinct values that are not null: the sketch's where it holds all of them, else an exact count."""
+    estimate = approx_distinct(c)
+    return F.when(estimate < 1 << DISTINCT_LG, estimate).otherwise(F.count_distinct(_col(c)))
+
+
 def lg_entries(entries: int) -> int:
     """log2 of a sketch's nominal entries, rounded up, within what Spark takes."""
     if entries < 1:

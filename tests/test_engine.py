@@ -268,6 +268,32 @@ def test_sketches(spark):
     assert sketches.lg_entries(4096) == 12 and sketches.lg_entries(5000) == 13 and sketches.lg_entries(2) == 4
 
 
+def test_distinct_is_exact(spark):
+    """Beyond what the sketch holds, and per group on either side of it."""
+    df = spark.range(100_000).select("id", F.when(F.col("id") < 50, "few").otherwise("many").alias("k"))
+    assert tuple(df.agg(sketches.distinct("id"), sketches.distinct("k"), sketches.distinct(F.when(F.lit(False), F.col("k")))).first()) == (100_000, 2, 0)
+    assert {tuple(r) for r in df.groupBy("k").agg(sketches.distinct("id")).collect()} == {("few", 50), ("many", 99_950)}
+
+
+@pytest.mark.parametrize("name", ["approx_distinct_group"])
+def test_distinct_queries_on_many_values(spark, tmp_path, name):
+    import duckdb
+
+    from sedimenta.plans import engine_queries
+
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT i AS l_suppkey, i * 7 AS l_partkey FROM range(40000) t(i)) TO '{tmp_path}/lineitem.parquet'")
+    con.execute(
+        "COPY (SELECT i AS event_id, TIMESTAMP '2024-01-01' + INTERVAL (i % 2) DAY AS ts, i AS user_id, 'click' AS event_type, i / 100 AS value FROM range(80000) t(i)) "
+        f"TO '{tmp_path}/events.parquet'"
+    )
+    for table in ("lineitem", "events"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet'")
+    expected = con.execute(engine_queries.oracle_sql()[name])
+    columns, rows = [c[0] for c in expected.description], expected.fetchall()
+    assert sorted(tuple(r[c] for c in columns) for r in engine_queries.queries()[name](spark, str(tmp_path)).collect()) == sorted(rows)
+
+
 def test_rewrite():
     assert rewrite("SELECT 'theta(x)', \"theta\" FROM t -- theta(x)") == "SELECT 'theta(x)', \"theta\" FROM t -- theta(x)"
     assert rewrite("select approx_distinct( f(a, b) )") == "select theta_sketch_estimate(theta_sketch_agg(f(a, b), 14))"
